@@ -19,7 +19,10 @@ PIVOT_SAMPLE = 2048
 STRIPE_ROWS = 8192
 GROUP_ROWS = 1024
 #: Candidates that are evaluated at once.
-STEP = 512
+STEP = 256
+#: Part of a stripe from which what the bounds leave is evaluated by a matrix product, for BATCH queries at once.
+DENSE = 0.125
+BATCH = 64
 
 
 def choose_pivots(vectors: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -40,40 +43,57 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def search_block(q_ids, queries, q_table, ids, vectors, table, k):
     """(query, candidate, score) of each query's k best among these candidates, itself left out.
 
-    ids must ascend, so that equal scores keep the smaller id.
+    The candidates of the highest bounds give a first k-th score; those whose bound reaches it
+    follow in bound order. Where more than a DENSE part of them is left, one matrix product for
+    many queries is cheaper than gathering rows. ids must ascend: equal scores keep the smaller.
     """
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] < 2**53
-    whole = vectors if exact else vectors.astype(np.int64)
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+    kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
+    whole, asked = vectors.astype(kind), queries.astype(kind)
     norms, q_norms = (vectors**2).sum(1), (queries**2).sum(1)
     slack = 1e-6 * (norms.max(initial=0) + q_norms.max(initial=0)) + 1e-6
     table32 = np.ascontiguousarray(table.T, np.float32)
-    for i, q in enumerate(queries):
-        apart = np.zeros(len(ids), np.float32)
-        for p, d in enumerate(table32):
-            np.maximum(apart, np.abs(d - np.float32(q_table[i, p])), out=apart)
-        apart = np.maximum(apart.astype(np.float64) * (1 - 1e-6) - 1e-3, 0)
-        bound = (q_norms[i] + norms - apart**2) / 2 + slack
-        bound[ids == q_ids[i]] = -np.inf
-        best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64 if not exact else np.float64)
-        q = q if exact else q.astype(np.int64)
-        rest, at = None, np.argpartition(-bound, min(STEP, len(ids) - 1))[:STEP]
-        while len(at):
+
+    def best_of(at, scores):
+        keep = np.lexsort((at, -scores))[:k]
+        return at[keep], scores[keep]
+
+    def report(i, at, scores):
+        return [(int(q_ids[i]), c, int(s)) for c, s in zip(ids[at].tolist(), scores.tolist(), strict=True)]
+
+    for begin in range(0, len(queries), BATCH):
+        dense = []
+        for i in range(begin, min(begin + BATCH, len(queries))):
+            apart = np.zeros(len(ids), np.float32)
+            for p, d in enumerate(table32):
+                np.maximum(apart, np.abs(d - np.float32(q_table[i, p])), out=apart)
+            apart = np.maximum(apart.astype(np.float64) * (1 - 1e-6) - 1e-3, 0)
+            bound = (q_norms[i] + norms - apart**2) / 2 + slack
+            bound[ids == q_ids[i]] = -np.inf
+            at = np.argpartition(-bound, min(STEP, len(ids) - 1))[:STEP]
             at = at[bound[at] > -np.inf]
-            best_at, best = np.concatenate((best_at, at)), np.concatenate((best, whole[at] @ q))
-            keep = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[keep], best[keep]
+            best_at, best = best_of(at, whole[at] @ asked[i])
             least = best[-1] if len(best) == k else -np.inf
-            if rest is None:
-                done = np.zeros(len(ids), bool)
-                done[at] = True
-                rest = np.flatnonzero((bound >= least) & ~done)
-                rest = rest[np.argsort(-bound[rest], kind="stable")]
-            else:
-                rest = rest[STEP:]
-            at = rest[:STEP]
-            at = at[bound[at] >= least]
-        for c, s in zip(ids[best_at].tolist(), best.tolist(), strict=True):
-            yield int(q_ids[i]), c, int(s)
+            left = (bound >= least) & (bound > -np.inf)
+            left[at] = False
+            if left.sum() > DENSE * len(ids):
+                dense.append((i, best_at, best, least, left))
+                continue
+            rest = np.flatnonzero(left)
+            rest = rest[np.argsort(-bound[rest], kind="stable")]
+            for j in range(0, len(rest), STEP):
+                at = rest[j : j + STEP]
+                at = at[bound[at] >= least]
+                if not len(at):
+                    break
+                best_at, best = best_of(np.concatenate((best_at, at)), np.concatenate((best, whole[at] @ asked[i])))
+                least = best[-1] if len(best) == k else -np.inf
+            yield from report(i, best_at, best)
+        if dense:
+            product = asked[[x[0] for x in dense]] @ whole.T
+            for scores, (i, best_at, best, least, left) in zip(product, dense, strict=True):
+                at = np.flatnonzero(left & (scores >= least))
+                yield from report(i, *best_of(np.concatenate((best_at, at)), np.concatenate((best, scores[at]))))
 
 
 def top_k(
