@@ -53,6 +53,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def small_batches(spark) -> None:
+    """Bound the texts that a Python worker holds at once, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets) of runs of whole texts; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

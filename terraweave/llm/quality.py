@@ -158,25 +158,26 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     return fit(np.concatenate(x), np.concatenate(([0], np.cumsum([len(a) for a in x]))), y.astype(np.float32))
 
 
-def classify(docs: DataFrame, model: AttentionModel | None, *, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5), over whole texts.
+def classify(docs: DataFrame, model: AttentionModel | None, *, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs (or some columns of it) with score (0 to 1) and predicted (1 if score >= 0.5), over whole texts.
 
     Null and empty texts are one passage without features and get that passage's score; without
     a model every score is 0.5; repeated rows score alike; columns score and predicted are
     replaced; no rows give no rows.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    held, at = docs.sparkSession.sparkContext.broadcast(model), keep.index(text)
+    keep = [c for c in (columns or docs.columns) if c not in ("score", "predicted")]
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    K.small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             score = np.full(batch.num_rows, 0.5)
             if held.value is not None:
-                for row, end, x, first in _features(batch.column(at)):
+                for row, end, x, first in _features(batch.column(0)):
                     score[row:end] = held.value.score(x, first)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep).mapInArrow(run, docs.select(*keep).schema.add("score", "double").add("predicted", "integer"))
+    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, docs.select(*keep).schema.add("score", "double").add("predicted", "integer"))
 
 
 __all__ = ["AttentionModel", "classify", "fit", "held_out", "passages", "train"]

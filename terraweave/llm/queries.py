@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = _table(spark, sf_dir, "documents").select("doc_id", "text"), quality.held_out("doc_id", 3, 1)
     model = quality.train(docs, _table(spark, sf_dir, "labels").where(~out))
-    return quality.classify(docs.withColumn("held_out", out), model).select("doc_id", "held_out", "score", "predicted")
+    return quality.classify(docs.withColumn("held_out", out), model, columns=["doc_id", "held_out"])
 
 
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
