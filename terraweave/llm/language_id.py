@@ -84,15 +84,18 @@ class CrossParser:
         for name in self.languages:
             sequence = np.searchsorted(alphabet, texts[name]).tolist()
             states = Automaton(sequence).next
-            table = np.zeros((len(states), width), np.int64)
-            root = np.ones(width, np.int64) + 2 * base
+            # One state more than the automaton's: after a letter that it does not know.
+            table = np.zeros((len(states) + 1, width), np.int64)
+            lost = 2 * (base + len(states) * width)
+            again = np.full(width, lost + 1, np.int64)
             for c, to in states[0].items():
-                root[c] = 2 * (base + to * width) + 1
-            table[:] = root
+                again[c] = 2 * (base + to * width) + 1
+            table[:] = again
+            table[0] = lost
             for i, edges in enumerate(states):
                 for c, to in edges.items():
                     table[i, c] = 2 * (base + to * width)
-            table[:, width - 1] = 2 * (base + np.arange(len(states)) * width)
+            table[:, width - 1] = 2 * (base + np.arange(len(table)) * width)
             tables.append(table.ravel())
             self.roots.append(base)
             self.scale.append(float(np.log2(max(2, len(sequence)))))
