@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, length_buckets, line_dedup, ngram_join, packed_output, pivot_search, pseudo_likelihood, quality, substring_dedup
+from . import decontamination, language_id, length_buckets, line_dedup, ngram_join, oracles, packed_output, pivot_search, pseudo_likelihood, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
