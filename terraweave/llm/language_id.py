@@ -190,12 +190,13 @@ def identify(docs: DataFrame, parser: CrossParser | None, *, text: str = "text")
                     todo.append(i)
                     held_codes.append(codes)
                     size += len(codes)
-                    if size > 1 << 19:
+                    if size > 1 << 18:
                         parse()
                         todo, held_codes, size = [], [], 0
             if todo:
                 parse()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(best, pa.float64()), pa.array(accepted)], [*keep, "lang_pred", "score", "bits", "accepted"])
+            K.release()
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits", "double").add("accepted", "boolean")
     return docs.select(*keep).mapInArrow(run, schema)

@@ -71,6 +71,7 @@ def token_lengths(docs: DataFrame, doc_id: str, text: str, vocabulary: str, more
         for batch in batches:
             n = np.fromiter((len(encode(t.as_py(), vocabulary)) for t in batch.column(1)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *batch.columns[2:]], ["doc_id", "n_tokens", *more])
+            K.release()
 
     fields = [f"doc_id {docs.schema[doc_id].dataType.simpleString()}", "n_tokens bigint", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in more]]
     return docs.select(doc_id, text, *more).mapInArrow(run, ", ".join(fields))
