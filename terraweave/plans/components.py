@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
     pairs = staged(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    signature, first = None, pairs
+    signature = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

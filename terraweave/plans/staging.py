@@ -23,7 +23,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame, partition_rows: bool = False) -> DataFrame:
+def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again; cuts the lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/terraweave-{uuid.uuid4().hex}"
