@@ -71,3 +71,40 @@ def canonical(line: Column, places: int = 9) -> Column:
     """Coordinates in the direction that sorts first, rounded: equal for a line and its reverse."""
     rounded = F.transform(line, lambda p: F.struct(F.round(p["x"], places).alias("x"), F.round(p["y"], places).alias("y")))
     return F.least(rounded, F.reverse(rounded))
+
+
+def interior_point(ring: Column) -> Column:
+    """The middle of the widest run inside a closed ring, on a level between two vertex levels.
+
+    Unlike a centroid it lies inside a concave ring; a ring without area gives its first point.
+    """
+    def of_level(level):
+        met = F.filter(segments(ring), lambda s: (s["a"]["y"] > level) != (s["b"]["y"] > level))
+        xs = F.array_sort(F.transform(met, lambda s: s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * (level - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"])))
+        runs = F.transform(xs, lambda x, i: F.when(i % 2 == 0, F.struct((F.get(xs, i + 1) - x).alias("width"), ((F.get(xs, i + 1) + x) / 2).alias("x"))))
+        return F.struct(F.array_max(runs)["x"].alias("x"), level.alias("y"))
+
+    box = bbox(ring)
+    ys, middle = F.transform(ring, lambda p: p["y"]), (box["y_min"] + box["y_max"]) / 2
+    level = (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2
+    found = F.transform(F.array(level), of_level)[0]
+    return F.when(found["x"].isNotNull(), found).otherwise(ring[0])
+
+
+def middle_vertex(line: Column) -> Column:
+    """The vertex nearest to a line's centroid; ends count only where a line has nothing else."""
+    def of_centre(centre):
+        vertices = F.when(F.size(line) > 2, F.slice(line, 2, F.greatest(F.size(line) - 2, F.lit(1)))).otherwise(line)
+        return F.array_min(F.transform(vertices, lambda p: F.struct(F.hypot(p["x"] - centre["x"], p["y"] - centre["y"]).alias("d"), p.alias("p"))))["p"]
+
+    weight = lambda s: F.coalesce(F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]), F.lit(0.0))
+    part = lambda c: F.aggregate(segments(line), F.lit(0.0), lambda t, s: t + F.coalesce(weight(s) * (s["a"][c] + s["b"][c]) / 2, F.lit(0.0)))
+    total = length(line)
+    centre = F.struct(F.when(total > 0, part("x") / total).otherwise(line[0]["x"]).alias("x"), F.when(total > 0, part("y") / total).otherwise(line[0]["y"]).alias("y"))
+    return F.transform(F.array(centre), of_centre)[0]
+
+
+def representative_point(kind: Column, parts: Column) -> Column:
+    """A point on the geometry: itself, inside the first ring, or a vertex of the first line."""
+    first = parts[0]
+    return F.when(kind.isin("Point", "MultiPoint"), first[0]).when(kind.isin("Polygon", "MultiPolygon"), interior_point(first)).otherwise(middle_vertex(first))

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import IngestError, PrivacyError
+from ..functions.geometry import representative_point
 from ..functions.text import private_pattern
+from ..model import UNKNOWN, VectorLayer
 
 # Roles and states of facilities, and the shipped class schemes.
 FACILITY_KINDS = ("shelter", "temporary_refuge_candidate", "responder_base", "fire_station", "other")
+FACILITY_STATES = ("operational", "not_operational", "UNKNOWN")
 DEMO_CLASSES = {1: "non_vegetated", 2: "grass_or_crop", 3: "shrub", 4: "broadleaf_forest", 5: "conifer_forest", 6: "mixed_forest"}
 COVER_CLASSES = {
     10: "tree_cover", 20: "shrubland", 30: "grassland", 40: "cropland", 50: "built_up", 60: "bare_or_sparse_vegetation", 70: "snow_and_ice",
@@ -96,3 +99,81 @@ def facilities(df: DataFrame, kind_column: str, kind_map: dict[str, str], unmapp
         if wrong:
             raise IngestError(f"unmapped facility tags: {wrong}")
     return out.withColumn("kind", F.coalesce("kind", F.lit("other")))
+
+
+def _prop(key: str) -> Column:
+    return F.try_element_at("props", F.lit(key))
+
+
+def _named(layer: VectorLayer, id_property: str) -> None:
+    if not layer.df.where(F.trim(F.coalesce(_prop(id_property), F.lit(""))) == "").isEmpty():
+        raise IngestError(f"a feature has no {id_property!r}; a position is no identity")
+
+
+def _whole(column: str) -> Column:
+    """A number's text as a whole number; fractions are cut off."""
+    return F.col(column).try_cast("double").cast("bigint")
+
+
+def _counts(df: DataFrame, columns: list[str], context: str) -> None:
+    """Raise where a count is no number or below 0; a missing one stays missing."""
+    if columns:
+        wrong = [F.col(c).isNotNull() & ~F.coalesce(_whole(c) >= 0, F.lit(False)) for c in columns]
+        if not df.where(F.exists(F.array(*wrong), lambda w: w)).isEmpty():
+            raise IngestError(f"{context}: a count is negative or no number")
+
+
+def settlements(
+    layer: VectorLayer, *, id_property: str = "settlement_id", name_property: str = "name", total_property: str = "population_total",
+    strata: tuple[tuple[str, int, int | None], ...] = (), basis_property: str = "count_basis", date_property: str = "reference_date",
+) -> DataFrame:
+    """One row for each feature: id, name, point, total, strata and what else it carries.
+
+    strata names (property, lower, upper) of half-open age bands, which may not share an age. A
+    missing total or count stays NULL and is never 0. Point features give their own point
+    (centroid_kind source_provided); others a representative one (UNKNOWN as to its source).
+    Private field names, a missing identity and a count below 0 raise.
+    """
+    for i, (_, lower, upper) in enumerate(ordered := sorted(strata, key=lambda s: s[1])):
+        if upper is not None and upper <= lower or i + 1 < len(ordered) and (upper is None or upper > ordered[i + 1][1]):
+            raise IngestError("age bands are empty or share an age")
+    require_private_free(layer.df, "population")
+    _named(layer, id_property)
+    raw = layer.df.withColumns({f"count_{i}": _prop(p) for i, (p, *_) in enumerate(strata)} | {"total": _prop(total_property)})
+    _counts(raw, ["total", *[f"count_{i}" for i in range(len(strata))]], "population")
+    band = "struct<property:string,lower:int,upper:int,count:bigint>"
+    bands = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(lo).alias("lower"), F.lit(hi).cast("int").alias("upper"), _whole(f"count_{i}").alias("count")) for i, (p, lo, hi) in enumerate(strata)]).cast(f"array<{band}>")
+    used = [id_property, name_property, total_property, basis_property, date_property, *[p for p, *_ in strata]]
+    text = lambda key: F.coalesce(_prop(key), F.lit(UNKNOWN))
+    return raw.select(
+        _prop(id_property).alias("settlement_id"), text(name_property).alias("name"), "geom", representative_point(F.col("geom.type"), F.col("geom.parts")).alias("point"),
+        F.when(F.col("geom.type") == "Point", "source_provided").otherwise(UNKNOWN).alias("centroid_kind"), _whole("total").alias("population_total"), bands.alias("strata"),
+        text(basis_property).alias("count_basis"), text(date_property).alias("reference_date"), F.map_filter("props", lambda k, _: ~k.isin(*used)).alias("attributes"),
+    )
+
+
+def facilities_from_layer(
+    layer: VectorLayer, kind_map: dict[str, str], *, id_property: str = "facility_id", kind_property: str = "kind", name_property: str = "name",
+    capacity_property: str | None = None, status_property: str | None = None, unmapped: str = "error",
+) -> DataFrame:
+    """One row for each feature: id, role, name, point, state, capacity, source tag and the rest.
+
+    Roles come from kind_map alone. A missing identity or tag, an unknown state and a capacity
+    below 0 raise; a missing capacity stays NULL and a missing state is UNKNOWN.
+    """
+    _named(layer, id_property)
+    _named(layer, kind_property)
+    nothing = F.lit(None).cast("string")
+    raw = layer.df.withColumns({
+        "source_kind_tag": _prop(kind_property),
+        "capacity": nothing if capacity_property is None else _prop(capacity_property),
+        "state": F.coalesce(nothing if status_property is None else _prop(status_property), F.lit(UNKNOWN)),
+    })
+    _counts(raw, ["capacity"], "facilities")
+    if not raw.where(~F.col("state").isin(*FACILITY_STATES)).isEmpty():
+        raise IngestError(f"a facility's state is none of {FACILITY_STATES}")
+    used = [p for p in (id_property, kind_property, name_property, capacity_property, status_property) if p]
+    return facilities(raw, "source_kind_tag", kind_map, unmapped).select(
+        _prop(id_property).alias("facility_id"), "kind", F.coalesce(_prop(name_property), F.lit(UNKNOWN)).alias("name"), "geom", representative_point(F.col("geom.type"), F.col("geom.parts")).alias("point"),
+        F.col("state").alias("operational_status"), _whole("capacity").alias("capacity_persons"), "source_kind_tag", F.map_filter("props", lambda k, _: ~k.isin(*used)).alias("attributes"),
+    )

@@ -328,6 +328,29 @@ def component_summary(nodes: DataFrame, edges: DataFrame, comps: DataFrame, mark
     return both.withColumn("is_isolated", (F.col("edge_count") == 1) & (F.col("exit_count") == 0)).withColumn("single_egress", (F.col("settlement_count") > 0) & (F.col("exit_count") == 1)).withColumn("no_egress", (F.col("settlement_count") > 0) & (F.col("exit_count") == 0))
 
 
+def assess(graph: RoadGraph, bounds: Bounds | None = None, places: DataFrame | None = None, snap: float = 250.0, exit_property: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a road network's assessment, each its own plan.
+
+    places holds (place_id, x, y); without it no component has a settlement. Components come with
+    is_isolated, single_egress and no_egress; settlements that found no node keep a NULL node.
+    """
+    nothing = graph.edges.sparkSession.createDataFrame([], "place_id string, x double, y double")
+    comps = components(graph.nodes, graph.edges)
+    exits = exit_nodes(graph, bounds, exit_property=exit_property)
+    found = nearest_nodes(graph.nodes, places if places is not None else nothing, snap)
+    here = found.where("node is not null").select("node").distinct().withColumn("is_settlement", F.lit(True))
+    marks = graph.nodes.select("node").join(exits.select("node", F.lit(True).alias("is_exit")), "node", "left").join(here, "node", "left").fillna(False, ["is_exit", "is_settlement"])
+    present, values = attribute_availability(graph.edges)
+    cuts = cut_structure(graph.edges, comps, marks)
+    out = {
+        "components": component_summary(graph.nodes, graph.edges, comps, marks), "exits": exits, "settlements": found, "dead_ends": dead_ends(graph.edges, exits),
+        "bridges": cuts.where("kind = 'bridge'").select("u", "v", "length_m", "cut_off"), "articulation": cuts.where("kind = 'articulation'").select(F.col("u").alias("node")),
+        "degrees": degrees(graph.edges).groupBy("degree").agg(F.count("*").alias("nodes")), "parallel": parallel_edges(graph.edges), "duplicates": duplicate_geometry(graph.edges),
+        "self_loops": graph.edges.where("u = v"), "crossings": crossings_without_node(graph), "grade_separations": grade_separations(graph.edges), "attributes": present, "values": values,
+    }
+    return out | ({} if bounds is None else {"density": network_density(graph.edges, bounds)})
+
+
 def dead_ends(edges: DataFrame, exits: DataFrame) -> DataFrame:
     return degrees(edges).where("degree = 1").join(exits.select("node"), "node", "left_anti").select("node")
 

@@ -1,7 +1,8 @@
-"""Rasters from Parquet, NumPy archives and plain GeoTIFF; written as Parquet with a sidecar."""
+"""Rasters as Parquet with a sidecar, and as NumPy archives and plain GeoTIFF for other programs."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import struct
@@ -12,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import IngestError
+from ..errors import IngestError, RasterError
 from ..model import Grid, Provenance, RasterLayer
 from ..operators.raster import normalised
+from ..operators.records import ClassScheme
 
 NPZ_TAG = "npz_raster_v1"
+#: Cells that write_npz and write_geotiff take: one file is built on the driver (8 bytes a cell).
+FILE_CELLS = 1 << 24
 
 
 def _text(spark: SparkSession, path: str) -> dict:
@@ -120,3 +124,90 @@ def read_geotiff(spark: SparkSession, path: str, provenance: Provenance, crs, ki
     grid = Grid(tie[3] - tie[0] * dx, tie[4] + tie[1] * dy, dx, dy, *values.shape)
     df = _read_files(spark, path, lambda b: decode_tiff(b)[0])
     return RasterLayer(df.withColumn("value", normalised(F.col("value"), nodata)), grid, crs, kind, nodata, provenance)
+
+
+def _array(layer: RasterLayer, limit: int) -> np.ndarray:
+    """All cells as float64, NaN where missing; a grid over the limit is refused, never cut."""
+    rows, cols = layer.grid.rows, layer.grid.cols
+    if rows * cols > limit:
+        raise RasterError(f"{rows * cols} cells are too many for one file of {limit}; write_raster has no limit")
+    table = layer.df.where("value is not null").select("row", "col", F.col("value").cast("double").alias("value")).toArrow()
+    values = np.full((rows, cols), np.nan)
+    values[table["row"].to_numpy(), table["col"].to_numpy()] = table["value"].to_numpy()
+    return values
+
+
+def _filled(layer: RasterLayer, values: np.ndarray) -> np.ndarray:
+    """Missing cells as the declared nodata value; without one they stay NaN."""
+    return values if layer.nodata is None else np.where(np.isnan(values), layer.nodata, values)
+
+
+def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A new file in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        for at in range(0, len(content), 1 << 24):
+            out.write(bytearray(content[at : at + (1 << 24)]))
+    finally:
+        out.close()
+
+
+def write_npz(layer: RasterLayer, path: str, sidecar: str, limit: int = FILE_CELLS) -> None:
+    """An archive with a `values` array and its JSON sidecar, as read_npz takes them."""
+    buffer, spark = io.BytesIO(), layer.df.sparkSession
+    np.savez_compressed(buffer, values=_filled(layer, _array(layer, limit)))
+    meta = {"format": NPZ_TAG, "grid": layer.grid.__dict__, "crs": layer.crs.code if layer.crs else None, "kind": layer.kind, "nodata": layer.nodata, "checksum": hashlib.sha256(buffer.getvalue()).hexdigest()}
+    _write_bytes(spark, path, buffer.getvalue())
+    _write_bytes(spark, sidecar, json.dumps(meta, sort_keys=True).encode())
+
+
+def encode_tiff(values: np.ndarray, grid: Grid, nodata: float | None, strip_rows: int = 64) -> bytes:
+    """A classic little-endian TIFF of float64 in deflated strips, north-up, with GDAL's nodata tag."""
+    strips = [zlib.compress(values[r : r + strip_rows].astype("<f8").tobytes()) for r in range(0, grid.rows, strip_rows)]
+    sizes, starts, at = [len(s) for s in strips], [], 8
+    for n in sizes:
+        starts.append(at)
+        at += n
+    entries = [
+        (256, "I", [grid.cols]), (257, "I", [grid.rows]), (258, "H", [64]), (259, "H", [8]), (262, "H", [1]), (273, "I", starts), (277, "H", [1]),
+        (278, "I", [strip_rows]), (279, "I", sizes), (339, "H", [3]), (33550, "d", [grid.x_size, grid.y_size, 0.0]), (33922, "d", [0.0, 0.0, 0.0, grid.x_origin, grid.y_origin, 0.0]),
+    ]
+    if nodata is not None:
+        entries.append((42113, "s", repr(float(nodata)).encode() + b"\0"))
+    body, tail = b"".join(strips), b""
+    at += at % 2
+    after, rows = at + 2 + 12 * len(entries) + 4, []
+    for tag, letter, given in entries:
+        data = given if letter == "s" else struct.pack(f"<{len(given)}{letter}", *given)
+        rows.append(struct.pack("<HHI", tag, {"s": 2, "H": 3, "I": 4, "d": 12}[letter], len(given)) + (data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", after + len(tail))))
+        tail += b"" if len(data) <= 4 else data + b"\0" * (len(data) % 2)
+    head = struct.pack("<2sHI", b"II", 42, at) + body
+    return head.ljust(at, b"\0") + struct.pack("<H", len(entries)) + b"".join(rows) + struct.pack("<I", 0) + tail
+
+
+def write_geotiff(layer: RasterLayer, path: str, limit: int = FILE_CELLS) -> None:
+    """One north-up band of float64; a nodata tag only where the layer declares a value.
+
+    The coordinate system is not written into the file; read_geotiff takes it from the caller.
+    """
+    _write_bytes(layer.df.sparkSession, path, encode_tiff(_filled(layer, _array(layer, limit)), layer.grid, layer.nodata))
+
+
+def read_any(spark: SparkSession, path: str, provenance: Provenance, **options) -> RasterLayer:
+    """By the path's suffix: .npz (sidecar beside it, .json), .tif or .tiff; others raise."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "npz":
+        return read_npz(spark, path, options.get("sidecar", path[:-4] + ".json"), provenance)
+    if suffix in ("tif", "tiff"):
+        return read_geotiff(spark, path, provenance, **options)
+    raise IngestError(f"no raster format has the suffix {suffix!r}")
+
+
+def read_class_geotiff(spark: SparkSession, path: str, provenance: Provenance, crs, scheme: ClassScheme) -> RasterLayer:
+    """A raster of class codes; its nodata value must be the scheme's, its codes the scheme's classes."""
+    layer = read_geotiff(spark, path, provenance, crs, "categorical", float(scheme.nodata))
+    unknown = [r["code"] for r in scheme.unknown_codes(layer.df).limit(20).collect()]
+    if unknown:
+        raise IngestError(f"codes {unknown} are not in the scheme {scheme.name}")
+    return layer

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from ..errors import IngestError, UnknownCRSError
 from ..functions.crs import crs_equal, parse_crs
-from ..functions.geometry import POINT
+from ..functions.geometry import POINT, interior_point, middle_vertex
 from ..model import Provenance, VectorLayer
 from ..operators.roads import HIGHWAY_VALUES
 
+# The key=value pairs that mark a facility, in order of precedence.
+FACILITY_TAGS = tuple(
+    [("amenity", v) for v in ("shelter", "townhall", "school", "community_centre", "fire_station", "police", "hospital", "clinic", "place_of_worship")]
+    + [("emergency", v) for v in ("fire_station", "assembly_point")]
+    + [("building", v) for v in ("civic", "public", "school", "community_centre")]
+)
+_TAGS = "tag array<struct<_k:string,_v:string>>"
+
 _SCHEMA = "type string, crs struct<properties:struct<name:string>>, features array<struct<type:string,geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
 
 
@@ -71,16 +79,23 @@ def write_geojson(layer: VectorLayer, path: str) -> None:
     layer.df.select(line.alias("value")).write.text(path)
 
 
+def _elements(spark: SparkSession, path: str, kind: str, columns: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", kind).schema(f"_id long, {columns}, {_TAGS}").load(path)
+
+
+def _tag_map() -> Column:
+    none = F.array().cast("array<struct<_k:string,_v:string>>")
+    return F.map_from_entries(F.transform(F.coalesce("tag", none), lambda t: F.struct(t["_k"], t["_v"])))
+
+
 def read_osm_roads(spark: SparkSession, path: str, provenance: Provenance, highway_values=HIGHWAY_VALUES) -> tuple[VectorLayer, DataFrame]:
     """Ways of accepted classes as lines in WGS 84, and the count of ways dropped.
 
     A way with an absent node or under two points is dropped and counted; no attribute is ever
     filled in; an empty result raises.
     """
-    tags = "tag array<struct<_k:string,_v:string>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double").load(path).select(F.col("_id").alias("ref"), F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y")).alias("p"))
-    ways = spark.read.format("xml").option("rowTag", "way").schema(f"_id long, nd array<struct<_ref:long>>, {tags}").load(path)
-    ways = ways.select("_id", "nd", F.map_from_entries(F.transform(F.coalesce("tag", F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"], t["_v"]))).alias("props"))
+    nodes = _elements(spark, path, "node", "_lat double, _lon double").select(F.col("_id").alias("ref"), F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y")).alias("p"))
+    ways = _elements(spark, path, "way", "nd array<struct<_ref:long>>").select("_id", "nd", _tag_map().alias("props"))
     ways = ways.where(F.try_element_at("props", F.lit("highway")).isin(*highway_values))
     refs = ways.select("_id", F.posexplode("nd").alias("i", "n")).select("_id", "i", F.col("n._ref").alias("ref")).join(nodes, "ref", "left")
     lines = refs.groupBy("_id").agg(F.count("*").alias("n"), F.count("p").alias("found"), F.array_sort(F.collect_list(F.struct("i", "p"))).alias("ps"))
@@ -96,3 +111,34 @@ def read_osm_roads(spark: SparkSession, path: str, provenance: Provenance, highw
 def match_facility(tags: Column, wanted: list[tuple[str, str]]) -> Column:
     """The first wanted key=value that the tags hold, in the order given."""
     return F.coalesce(*[F.when(F.try_element_at(tags, F.lit(k)) == v, F.lit(f"{k}={v}")) for k, v in wanted])
+
+
+def read_osm_facilities(spark: SparkSession, path: str, provenance: Provenance, wanted: tuple[tuple[str, str], ...] = FACILITY_TAGS) -> tuple[VectorLayer, DataFrame]:
+    """Nodes and ways with a wanted tag as points in WGS 84, and the count of ways without geometry.
+
+    A closed way of four points or more gives a point inside it, another way one of its vertices.
+    Absent vertices are left out; a way with under two points is counted. No role is assigned:
+    props hold the tags, the tag that matched and the element's own identity
+    (facility_id `osm:<node or way>/<id>`); an empty result raises.
+    """
+    nodes = _elements(spark, path, "node", "_lat double, _lon double").select("_id", F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y")).alias("p"), _tag_map().alias("tags"))
+    ways = _elements(spark, path, "way", "nd array<struct<_ref:long>>").select("_id", "nd", _tag_map().alias("tags"))
+    matched = match_facility(F.col("tags"), list(wanted))
+    ways = ways.withColumn("matched", matched).where("matched is not null")
+    refs = ways.select("_id", F.posexplode("nd").alias("i", "n")).select(F.col("_id").alias("way"), "i", F.col("n._ref").alias("_id"))
+    lines = refs.join(nodes.select("_id", "p"), "_id").groupBy("way").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("ps"))
+    lines = lines.select(F.col("way").alias("_id"), F.transform("ps", lambda q: q["p"]).alias("line"))
+    shaped = ways.join(lines, "_id", "left").withColumn("whole", F.coalesce(F.size("line") >= 2, F.lit(False)))
+    line = F.col("line")
+    closed = (F.size(line) >= 4) & (line[0] == F.element_at(line, -1))
+    of_ways = shaped.where("whole").select(F.lit("way").alias("kind"), "_id", "tags", "matched", F.when(closed, interior_point(line)).otherwise(middle_vertex(line)).alias("p"))
+    of_nodes = nodes.withColumn("matched", matched).where("matched is not null").select(F.lit("node").alias("kind"), "_id", "tags", "matched", "p")
+    every = of_nodes.unionByName(of_ways)
+    own = {"facility_id": F.concat(F.lit("osm:"), "kind", F.lit("/"), F.col("_id").cast("string")), "osm_id": F.col("_id").cast("string"), "osm_type": F.col("kind"), "osm_matched_tag": F.col("matched")}
+    tags = F.map_filter("tags", lambda k, _: ~k.isin(*own))
+    props = F.map_concat(tags, F.create_map(*[c for k, v in own.items() for c in (F.lit(k), v)]))
+    geom = F.struct(F.lit("Point").alias("type"), F.array(F.array("p")).alias("parts"))
+    out = every.select(F.xxhash64("kind", "_id").alias("feature_index"), geom.alias("geom"), props.alias("props"))
+    if out.isEmpty():
+        raise IngestError("no element has a wanted tag")
+    return VectorLayer(out, "EPSG:4326", provenance), shaped.agg(F.count_if(~F.col("whole")).alias("without_geometry"))
