@@ -5,17 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__, fixtures
-from .errors import ConfigError, StudyError
+from .errors import ConfigError, IngestError, StudyError
 from .model import Bounds, Provenance
 from .operators import contract, records, study, validation
 from .session import get_session
 from .sources.bundle import read_bundle, write_bundle
-from .sources.raster import read_raster, write_raster
+from .sources.raster import read_class_geotiff, read_raster, write_raster
 from .sources.vector import read_geojson
 
 
@@ -82,10 +83,32 @@ def make_fixtures(spark: SparkSession, args) -> dict:
     return {"written": args.names or sorted(fixtures.FIXTURES)}
 
 
+def checked(spark: SparkSession, args) -> Provenance:
+    """The caller's record of the file; a checksum that differs raises before anything is written."""
+    record = _provenance(args)
+    if args.no_checksum:
+        return record
+    found = [r[0] for r in spark.read.format("binaryFile").load(args.path).select(F.sha2("content", 256)).collect()]
+    if found != [args.sha256.lower()]:
+        raise IngestError(f"{args.path} has the checksum {found}, not {args.sha256}")
+    return replace(record, checksum=args.sha256.lower(), checksum_algorithm="sha256")
+
+
 def import_vector(spark: SparkSession, args) -> dict:
-    layer = read_geojson(spark, args.path, _provenance(args), args.crs)
+    layer = read_geojson(spark, args.path, checked(spark, args), args.crs)
+    df = layer.df
     if args.command == "import-population":
-        records.require_private_free(layer.df, "population")
+        df = records.settlements(layer)
+    if args.command == "import-facilities":
+        wrong = [pair for pair in args.kind if "=" not in pair]
+        if wrong:
+            raise ConfigError(f"{wrong} are not of the form tag=role")
+        df = records.facilities_from_layer(layer, dict(pair.split("=", 1) for pair in args.kind), unmapped=args.unmapped)
+    return write_bundle(spark, args.out, args.name, {args.name: (df, layer.provenance)})
+
+
+def import_fuels(spark: SparkSession, args) -> dict:
+    layer = read_class_geotiff(spark, args.path, checked(spark, args), args.crs, records.SCHEMES[args.scheme])
     return write_bundle(spark, args.out, args.name, {args.name: (layer.df, layer.provenance)})
 
 
@@ -106,14 +129,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("out")
     p.add_argument("names", nargs="*")
     p.set_defaults(run=make_fixtures)
-    for name in ("import-roads", "import-facilities", "import-population"):
+    for name in ("import-roads", "import-facilities", "import-population", "import-fuels"):
         p = commands.add_parser(name)
         for word in ("path", "out"):
             p.add_argument(word)
         for word in ("--name", "--data-class", "--source", "--licence"):
             p.add_argument(word, required=True)
-        p.add_argument("--crs")
-        p.set_defaults(run=import_vector)
+        p.add_argument("--crs", required=name == "import-fuels")
+        sums = p.add_mutually_exclusive_group(required=True)
+        sums.add_argument("--sha256")
+        sums.add_argument("--no-checksum", action="store_true")
+        if name == "import-facilities":
+            p.add_argument("--kind", action="append", default=[], help="tag=role, once for each tag")
+            p.add_argument("--unmapped", choices=("error", "other"), default="error")
+        if name == "import-fuels":
+            p.add_argument("--scheme", choices=sorted(records.SCHEMES), required=True)
+        p.set_defaults(run=import_fuels if name == "import-fuels" else import_vector)
     commands.add_parser("list-fixtures").set_defaults(run=lambda spark, args: {"fixtures": sorted(fixtures.FIXTURES)})
     commands.add_parser("version").set_defaults(run=lambda spark, args: {"version": __version__})
     return top

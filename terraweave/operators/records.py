@@ -49,6 +49,7 @@ class ClassScheme:
 
 DEMO_SCHEME = ClassScheme("synthetic_demo_v1", DEMO_CLASSES, 255, "synthetic")
 COVER_SCHEME = ClassScheme("esa_worldcover_v200", COVER_CLASSES, 0, "observed", "ESA WorldCover 10 m 2021 v200")
+SCHEMES = {s.name: s for s in (DEMO_SCHEME, COVER_SCHEME)}
 
 
 def check_privacy(names: DataFrame, column: str = "name") -> DataFrame:
