@@ -12,7 +12,7 @@ from .functions import crs as C
 from .functions import geometry as G
 from .functions import text as T
 from .functions import units as U
-from .model import CLASS_PRECEDENCE, Bounds, Grid
+from .model import CLASS_PRECEDENCE, Bounds, Grid, Provenance, VectorLayer
 from .operators import contract, raster, records, roads, validation, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,6 +558,36 @@ def row_checksums(spark, sf):
     return p.select(F.col("p_partkey").alias("file"), F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name"), 256).alias("checksum"))
 
 
+def _records(df: DataFrame, name: str, **props) -> VectorLayer:
+    """Rows as point features whose properties are texts; a missing value is no property."""
+    pairs = F.create_map(*[c for k, v in props.items() for c in (F.lit(k), F.col(v).cast("string"))])
+    geom = F.struct(F.lit("Point").alias("type"), F.array(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))).alias("parts"))
+    return VectorLayer(df.select(F.monotonically_increasing_id().alias("feature_index"), geom.alias("geom"), F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("props")), A.CRS, Provenance(name, "observed"))
+
+
+@query(f"SELECT CAST(settlement_id AS VARCHAR) AS settlement_id, total AS population_total, young, old, count_basis, CASE WHEN young IS NULL AND old IS NULL THEN NULL ELSE coalesce(young, 0) + coalesce(old, 0) END AS counted FROM ({A.POPULATION}) p")
+def settlement_records(spark, sf):
+    layer = _records(A.rows(spark, sf, A.POPULATION), "population", settlement_id="settlement_id", population_total="total", young="young", old="old", count_basis="count_basis")
+    out = records.settlements(layer, strata=(("young", 0, 15), ("old", 15, None)))
+    return out.select("settlement_id", "population_total", F.col("strata")[0]["count"].alias("young"), F.col("strata")[1]["count"].alias("old"), "count_basis", records.strata_total(F.col("strata")).alias("counted"))
+
+
+@query(f"SELECT CAST(facility_id AS VARCHAR) AS facility_id, CASE tag WHEN '0' THEN 'shelter' WHEN '1' THEN 'fire_station' WHEN '2' THEN 'responder_base' ELSE 'other' END AS kind, CAST(capacity AS BIGINT) AS capacity_persons, 'UNKNOWN' AS operational_status, tag AS source_kind_tag FROM ({A.FACILITIES}) f")
+def facility_records(spark, sf):
+    layer = _records(A.rows(spark, sf, A.FACILITIES), "facilities", facility_id="facility_id", kind="tag", capacity="capacity")
+    out = records.facilities_from_layer(layer, {"0": "shelter", "1": "fire_station", "2": "responder_base"}, capacity_property="capacity", unmapped="other")
+    return out.select("facility_id", "kind", "capacity_persons", "operational_status", "source_kind_tag")
+
+
+@query(f"SELECT place_id, x + 1.5 AS x, y + 2.0 AS y FROM ({A.PLACES}) p")
+def representative_points(spark, sf):
+    """Triangles with a right angle at each place."""
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ring = F.array(corner(0, 0), corner(6, 0), corner(0, 4), corner(0, 0))
+    rows = A.rows(spark, sf, A.PLACES).withColumn("parts", F.array(ring))
+    return rows.select("place_id", G.representative_point(F.lit("Polygon"), F.col("parts")).alias("p")).select("place_id", "p.x", "p.y")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
