@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__, fixtures
-from .errors import ConfigError, IngestError, StudyError
+from .errors import ConfigError, IngestError, OptionalDependencyError, StudyError
 from .model import Bounds, Provenance
 from .operators import contract, records, study, validation
 from .session import get_session
@@ -24,10 +24,25 @@ def _provenance(args) -> Provenance:
     return Provenance(args.name, args.data_class, sources=({"name": args.source, "licence": args.licence},))
 
 
+def read_config(path: str) -> dict:
+    """A JSON or YAML mapping; YAML needs PyYAML."""
+    with open(path) as f:
+        if not path.endswith((".yaml", ".yml")):
+            config = json.load(f)
+        else:
+            try:
+                import yaml
+            except ImportError as e:
+                raise OptionalDependencyError("YAML configurations need PyYAML; JSON needs nothing") from e
+            config = yaml.safe_load(f)
+    if not isinstance(config, dict):
+        raise ConfigError("a configuration is a mapping")
+    return config
+
+
 def build(spark: SparkSession, args) -> dict:
-    """A study area from a JSON configuration: crs, bounds, and paths of dem, fuels and roads."""
-    with open(args.config) as f:
-        config = json.load(f)
+    """A study area from a configuration: crs, bounds, and paths of dem, fuels and roads."""
+    config = read_config(args.config)
     unknown = set(config) - {"id", "crs", "bounds", "dem", "fuels", "roads", "facilities", "population", "snap_tolerance"}
     if unknown or not {"id", "crs", "bounds"} <= set(config):
         raise ConfigError(f"unknown keys {sorted(unknown)}, or id, crs or bounds is missing")
