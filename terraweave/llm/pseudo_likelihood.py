@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts each word from both sides.
 
-A word is predicted as its class, by the network, and as itself within the class, by counts
-over the whole corpus. Frequent words are classes of their own; the others share classes by
-their last bytes. Tables have fixed sizes: words are counted in 2**COUNT_BITS slots by hash.
+A word is predicted as its class, by the network, and as itself within the class, by how often
+it stands beside the classes on its left and right in the whole corpus. Frequent words are
+classes of their own; the others share classes by their last bytes. Every word is counted on its
+own: the counts of frequent words are broadcast, all others are a table that grows with the
+vocabulary and is joined. Words are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 from ..plans.staging import drop_staged, staged
 from . import kernels as K
 
-COUNT_BITS = 18
 CLASSES = 64
 #: Classes that one frequent word each has.
 OWN = 40
@@ -28,24 +29,40 @@ SIDE = 2
 #: Windows of one training step.
 STEP = 1024
 ROUNDS = 2
-_COUNT_SHIFT = np.uint64(64 - COUNT_BITS)
-_BLOCK = 1 << 12
+#: Words whose counts are broadcast, at most; the counts of all others are joined.
+HELD = 1 << 14
+#: Words of a class, by frequency alone, that weigh as much as those seen beside a neighbour.
+PRIOR = 100.0
+#: A side's neighbours: the classes, and what stands beyond the text.
+_SIDE = CLASSES + 1
+#: Distinct words that a task collects before it gives out their counts.
+_POOL = 1 << 18
+#: Kinds of counts besides the places of held words: other words, and whole classes.
+_OTHER, _TOTAL = -1, -2
 
 
 def _tokens(column: pa.Array):
-    """(first row, end row, word slots, classes by ending, row bounds) of each chunk."""
+    """(first row, end row, word hashes, classes by ending, row bounds) of each chunk."""
     for row, end, data, offsets in K.chunks(column):
         w = K.words(data, offsets, K.SPACE_WORDS, lower=True)
-        slot = (w.hashes >> _COUNT_SHIFT).astype(np.int32)
         lower = K.LOWER[data].astype(np.int32)
-        last = lower[w.ends - 1] if len(w.ends) else slot
-        before = lower[np.maximum(w.ends - 2, w.starts)] if len(w.ends) else slot
+        last = lower[w.ends - 1] if len(w.ends) else np.zeros(0, np.int32)
+        before = lower[np.maximum(w.ends - 2, w.starts)] if len(w.ends) else last
         ending = OWN + (last * 31 + before) % (CLASSES - OWN)
-        yield row, end, slot, ending.astype(np.int32), w.first
+        yield row, end, w.hashes, ending.astype(np.int32), w.first
 
 
-def _classes(slot: np.ndarray, ending: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return np.where(own[slot] >= 0, own[slot], ending)
+def _places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each word among the sorted known ones, -1 where it is none of them."""
+    if not len(known):
+        return np.full(len(words), -1, np.int32)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return np.where(known[at] == words, at, -1).astype(np.int32)
+
+
+def _classes(words: np.ndarray, ending: np.ndarray, own: np.ndarray) -> np.ndarray:
+    at = _places(words, own)
+    return np.where(at >= 0, at, ending)
 
 
 @dataclass
@@ -129,45 +146,100 @@ def neighbours(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
 @dataclass
 class PseudoLikelihood:
     network: Network
-    own: np.ndarray
-    within: np.ndarray  # log probability of a word slot within its class
-    within_ending: np.ndarray  # (CLASSES - OWN,): log of the words counted in each shared class
-
+    own: np.ndarray  # sorted hashes of the words with a class of their own; the place is the class
+    held: np.ndarray  # sorted hashes of the words whose counts are broadcast
+    beside: np.ndarray  # (len(held), 2 * _SIDE): how often each class stands on a word's left, right
+    totals: np.ndarray  # (CLASSES - OWN, 2 * _SIDE): the same for all words of each shared class
+    others: DataFrame | None  # word, n, beside (counts by neighbour) of all other words, if any
+
+    def within(self, words: np.ndarray, classes: np.ndarray, near: np.ndarray):
+        """Log probabilities of words within their shared classes, places not held, and their terms.
+
+        A side gives (words seen beside its class + prior * n) / size, with PRIOR words dealt out
+        by frequency n, and the sides are averaged: a class's words and one unseen sum to 1.
+        """
+        c, left, right = classes - OWN, near[0], _SIDE + near[1]
+        prior = PRIOR / (self.totals[:, :_SIDE].sum(1) + 1)[c]
+        sizes = self.totals[c, left] + PRIOR, self.totals[c, right] + PRIOR
+        at = _places(words, self.held)
+        there = np.flatnonzero(at >= 0)
+        n, seen = np.ones(len(c)), np.zeros((2, len(c)))
+        n[there] = self.beside[:, :_SIDE].sum(1)[at[there]]
+        for side, place in enumerate((left, right)):
+            seen[side, there] = self.beside[at[there], place[there]]
+        p = ((seen[0] + prior * n) / sizes[0] + (seen[1] + prior * n) / sizes[1]) / 2
+        return np.log(p), np.flatnonzero(at < 0), (left, right, prior, *sizes)
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
+def count_words(docs: DataFrame, text: str) -> DataFrame:
+    """word, n: how often each word stands in the whole corpus."""
 
-def count_words(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of word slots, and of endings of all words, over the whole corpus.
-
-    Tasks count in tables of fixed size; blocks of them merge by slot block in two levels, so
-    the sum of many tables never meets in one task.
+    def count(batches):
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, _, found, _, _ in _tokens(batch.column(0)):
+                words, counts = _merged(np.concatenate((words, found)), np.concatenate((counts, np.ones(len(found), np.int64))))
+                if len(words) > _POOL:
+                    yield pa.RecordBatch.from_arrays([K.signed(words), pa.array(counts)], ["word", "n"])
+                    words, counts = words[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([K.signed(words), pa.array(counts)], ["word", "n"])
+
+    return docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the OWN most frequent words, and of at most HELD frequent ones, each sorted."""
+    hashes = lambda df: np.sort(df.select("word").toArrow()["word"].to_numpy().astype(np.int64).view(np.uint64))
+    own = hashes(counts.orderBy(F.desc("n"), "word").limit(OWN))
+    size = F.floor(8 * F.log2("n"))
+    least, room = None, HELD
+    for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["size"]
+    return own, hashes(counts.where(size >= least)) if least is not None else np.zeros(0, np.uint64)
+
+
+def count_neighbours(docs: DataFrame, text: str, own: np.ndarray, held: np.ndarray) -> DataFrame:
+    """place, word, side, n: how often a class stands beside each word of a shared class.
+
+    place is the word's among the held, or _OTHER; _TOTAL has a shared class as word.
     """
+    known = docs.sparkSession.sparkContext.broadcast((own, held))
+    names = ["place", "word", "side", "n"]
 
     def count(batches):
-        slots, endings = np.zeros(1 << COUNT_BITS, np.int64), np.zeros(CLASSES, np.int64)
+        own, held = known.value
+        sums, totals = np.zeros((len(held), 2 * _SIDE), np.int64), np.zeros((CLASSES - OWN, 2 * _SIDE), np.int64)
         for batch in batches:
-            for _, _, slot, ending, _ in _tokens(batch.column(0)):
-                slots += np.bincount(slot, minlength=len(slots))
-                endings += np.bincount(ending, minlength=CLASSES)
-        task = TaskContext.get().partitionId()
-        blocks = [*range(0, len(slots), _BLOCK)]
-        data = [slots[a : a + _BLOCK].tobytes() for a in blocks] + [endings.tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(blocks)), -1], pa.int32()), pa.array([task] * len(data), pa.int64()), pa.array(data, pa.binary())], ["block", "task", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
-        return pa.table({"block": table["block"][:1], "task": table["task"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    partial = docs.select(text).mapInArrow(count, "block int, task bigint, counts binary")
-    spread = max(1, int(partial.rdd.getNumPartitions() ** 0.5))
-    merged = partial.groupBy("block", F.pmod("task", F.lit(spread)).alias("part")).applyInArrow(add, "block int, task bigint, counts binary")
-    merged = merged.groupBy("block").applyInArrow(add, "block int, task bigint, counts binary")
-    slots, endings = np.zeros(1 << COUNT_BITS, np.int64), np.zeros(CLASSES, np.int64)
-    for r in merged.toLocalIterator():
-        got = np.frombuffer(r["counts"], np.int64)
-        if r["block"] < 0:
-            endings = got
-        else:
-            slots[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = got
-    return slots, endings
+            for _, _, words, ending, first in _tokens(batch.column(0)):
+                classes = _classes(words, ending, own)
+                near = neighbours(classes, first)
+                shared = np.flatnonzero(classes >= OWN)
+                words, classes = words[shared], classes[shared]
+                at = _places(words, held)
+                there, other = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                for k in range(2):
+                    side = near[k][shared] + k * _SIDE
+                    np.add.at(sums, (at[there], side[there]), 1)
+                    np.add.at(totals, (classes - OWN, side), 1)
+                    if len(other):
+                        order = other[np.lexsort((side[other], words[other]))]
+                        w, s = words[order], side[order]
+                        new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (s[1:] != s[:-1]))))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), _OTHER, np.int32)), K.signed(w[new]), pa.array(s[new].astype(np.int32)), pa.array(np.diff(np.append(new, len(w))))], names)
+        for counted, kind in ((sums, 0), (totals, _TOTAL)):
+            a, b = np.nonzero(counted)
+            place, word = (a, held[a]) if kind == 0 else (np.full(len(a), _TOTAL), a.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), K.signed(word), pa.array(b.astype(np.int32)), pa.array(counted[a, b])], names)
+
+    return docs.select(text).mapInArrow(count, "place int, word bigint, side int, n bigint").groupBy("place", "word", "side").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> PseudoLikelihood:
@@ -177,11 +249,9 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Pseud
     are used once; models weigh by their windows. An empty corpus leaves the first network.
     """
     K.small_batches(docs.sparkSession)
-    slots, endings = count_words(docs, text)
-    own = np.full(1 << COUNT_BITS, -1, np.int32)
-    top = np.argsort(-slots, kind="stable")[:OWN]
-    top = top[slots[top] > 0]
-    own[top] = np.arange(len(top))
+    counts = staged(count_words(docs, text))
+    own, held_words = _most_frequent(counts)
+    drop_staged(counts)
     network = Network.fresh()
     spark = docs.sparkSession
     for turn in range(rounds):
@@ -191,8 +261,8 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Pseud
             start, own = held.value
             mine, windows, step = Network.of(start.flat()), 0, 0
             for batch in batches:
-                for _, _, slot, ending, first in _tokens(batch.column(0)):
-                    classes = _classes(slot, ending, own)
+                for _, _, words, ending, first in _tokens(batch.column(0)):
+                    classes = _classes(words, ending, own)
                     near = neighbours(classes, first)
                     for at in range(0, len(classes), STEP):
                         step += 1
@@ -210,9 +280,20 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> Pseud
         if weight:
             network = Network.of(total / weight)
         drop_staged(models)
-    # Endings count the words with a class of their own too, so a class's words sum to 1 at most.
-    within = np.log(slots + 1.0)
-    return PseudoLikelihood(network, own, within, np.log(endings[OWN:] + float(1 << COUNT_BITS)))
+    found = staged(count_neighbours(docs, text, own, held_words))
+    beside, totals = np.zeros((len(held_words), 2 * _SIDE)), np.zeros((CLASSES - OWN, 2 * _SIDE))
+    for table, index, kind in ((beside, "place", F.col("place") >= 0), (totals, "word", F.col("place") == _TOTAL)):
+        got = found.where(kind).select(F.col(index).cast("int").alias("at"), "side", "n").toArrow()
+        table[got["at"].to_numpy(), got["side"].to_numpy()] = got["n"].to_numpy()
+    others = found.where(F.col("place") == _OTHER).groupBy("word").agg(
+        F.sum(F.when(F.col("side") < _SIDE, F.col("n"))).alias("n"), F.map_from_entries(F.collect_list(F.struct("side", "n"))).alias("beside")
+    )
+    others = staged(others)
+    drop_staged(found)
+    if others.isEmpty():
+        drop_staged(others)
+        others = None
+    return PseudoLikelihood(network, own, held_words, beside, totals, others)
 
 
 def score_documents(docs: DataFrame, model: PseudoLikelihood, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,23 +304,49 @@ def score_documents(docs: DataFrame, model: PseudoLikelihood, *, doc_id: str = "
     alike; other columns are left out; no rows give no rows.
     """
     K.small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, others=None))
+    joins = model.others is not None
     kind = docs.schema[doc_id].dataType.simpleString()
+    term = pa.struct([("word", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("prior", pa.float64()), ("left_size", pa.float64()), ("right_size", pa.float64())])
 
     def run(batches):
-        m = held.value
+        m, row_id = held.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for row, end, slot, ending, first in _tokens(batch.column(1)):
-                if not len(slot):
+            n, total, open_terms = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), []
+            for row, end, words, ending, first in _tokens(batch.column(1)):
+                if not len(words):
+                    open_terms.append(pa.array([[]] * (end - row), pa.list_(term)))
                     continue
-                classes = _classes(slot, ending, m.own)
-                each = m.network.log_probability(neighbours(classes, first), classes)
-                shared = classes >= OWN
-                each[shared] += m.within[slot[shared]] - m.within_ending[classes[shared] - OWN]
+                classes = _classes(words, ending, m.own)
+                near = neighbours(classes, first)
+                each = m.network.log_probability(near, classes)
+                shared = np.flatnonzero(classes >= OWN)
+                inside, missing, terms = m.within(words[shared], classes[shared], near[:, shared])
+                if joins:
+                    inside[missing] = 0
+                    values = [K.signed(words[shared[missing]]), *[pa.array(t[missing].astype(kind)) for t, kind in zip(terms, (np.int32, np.int32, float, float, float), strict=True)]]
+                    bounds = np.searchsorted(shared[missing], first).astype(np.int32)
+                    open_terms.append(pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(values, fields=list(term))))
+                each[shared] += inside
                 sums = np.concatenate(([0], np.cumsum(each)))
                 n[row:end], total[row:end] = np.diff(first), sums[first[1:]] - sums[first[:-1]]
+            if joins:
+                terms = pa.concat_arrays(open_terms) if open_terms else pa.array([], pa.list_(term))
+                yield pa.RecordBatch.from_arrays([pa.array(row_id + np.arange(batch.num_rows)), batch.column(0), pa.array(n), pa.array(total), terms], ["row_id", "doc_id", "n_tokens", "log_probability", "terms"])
+                row_id += batch.num_rows
+                continue
             mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_probability double, mean_log_probability double")
+    if not joins:
+        return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_probability double, mean_log_probability double")
+    fields = "word: bigint, left: int, right: int, prior: double, left_size: double, right_size: double"
+    scored = staged(docs.select(doc_id, text).mapInArrow(run, f"row_id bigint, doc_id {kind}, n_tokens bigint, log_probability double, terms array<struct<{fields}>>"))
+    seen = lambda side: F.coalesce(F.try_element_at("beside", F.col(side)), F.lit(0))
+    dealt = F.col("prior") * F.coalesce("n", F.lit(1))
+    inside = F.log(((seen("left") + dealt) / F.col("left_size") + (seen("right") + dealt) / F.col("right_size")) / 2)
+    terms = scored.select("row_id", F.explode("terms").alias("t")).select("row_id", "t.*").join(model.others, "word", "left")
+    sums = terms.groupBy("row_id").agg(F.sum(inside).alias("inside"))
+    whole = F.col("log_probability") + F.coalesce("inside", F.lit(0.0))
+    out = scored.drop("terms").join(sums, "row_id", "left").select("doc_id", "n_tokens", whole.alias("log_probability"))
+    return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
