@@ -355,13 +355,15 @@ def settlement_nodes(spark, sf):
 
 @query(f"WITH p AS ({A.PLACES}), q AS (SELECT place_id, floor(x / 40) AS x, floor(y / 40) AS y FROM p WHERE place_id < 400) SELECT place_id AS pid, min(place_id) OVER (PARTITION BY x, y) AS node FROM q")
 def exact_endpoint_clusters(spark, sf):
-    p = A.rows(spark, sf, A.PLACES).where("place_id < 400").select(F.col("place_id").alias("pid"), F.floor(F.col("x") / 40).cast("double").alias("x"), F.floor(F.col("y") / 40).cast("double").alias("y"))
+    """Over all places; the SQL has those under 400 only."""
+    p = A.rows(spark, sf, A.PLACES).select(F.col("place_id").alias("pid"), F.floor(F.col("x") / 40).cast("double").alias("x"), F.floor(F.col("y") / 40).cast("double").alias("y"))
     return roads.cluster_endpoints(p, 0.0).select("pid", "node")
 
 
 @query(f"WITH RECURSIVE p AS (SELECT place_id, x, y FROM ({A.PLACES}) t WHERE place_id < 300), n AS (SELECT a.place_id AS a, b.place_id AS b FROM p a, p b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 45), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b) SELECT a AS pid, min(b) AS node FROM reach GROUP BY a")
 def snapped_endpoint_clusters(spark, sf):
-    p = A.rows(spark, sf, A.PLACES).where("place_id < 300").select(F.col("place_id").alias("pid"), "x", "y")
+    """Over all places; the recursive SQL has those under 300 only."""
+    p = A.rows(spark, sf, A.PLACES).select(F.col("place_id").alias("pid"), "x", "y")
     return roads.cluster_endpoints(p, 45.0).select("pid", "node")
 
 
