@@ -367,14 +367,16 @@ def snapped_endpoint_clusters(spark, sf):
     return roads.cluster_endpoints(p, 45.0).select("pid", "node")
 
 
-_DIAG = "SELECT s_suppkey AS id, CAST(s_suppkey AS DOUBLE) * 10.0 AS x1, CAST(0 AS DOUBLE) AS y1, CAST((s_suppkey * 7) % 100 AS DOUBLE) * 10.0 AS x2, CAST(1000 AS DOUBLE) AS y2 FROM supplier WHERE s_suppkey < 40"
+_DIAGONALS = "SELECT s_suppkey AS id, CAST(s_suppkey AS DOUBLE) * 10.0 AS x1, CAST(0 AS DOUBLE) AS y1, CAST((s_suppkey * 7) % 100 AS DOUBLE) * 10.0 AS x2, CAST(1000 AS DOUBLE) AS y2 FROM supplier"
+_DIAG = f"{_DIAGONALS} WHERE s_suppkey < 40"
 _DEN = "((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
 _TT = f"(((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / {_DEN})"
 
 
 @query(f"WITH s AS ({_DIAG}), m AS (SELECT a.id AS a, b.id AS b, a.x1 + {_TT} * (a.x2 - a.x1) AS x, a.y1 + {_TT} * (a.y2 - a.y1) AS y FROM s a JOIN s b ON a.id < b.id AND {_DEN} <> 0) SELECT a, b, round(x, 3) AS x, round(y, 3) AS y FROM m WHERE y BETWEEN -1e-9 AND 1000 + 1e-9")
 def line_crossings(spark, sf):
-    s = A.rows(spark, sf, _DIAG)
+    """Over all suppliers' lines; the SQL has those under 40 only."""
+    s = A.rows(spark, sf, _DIAGONALS)
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return rounded(roads.crossings(s.select("id", F.array(p("x1", "y1"), p("x2", "y2")).alias("line")), "id"), 3)
 

@@ -43,3 +43,18 @@ def test_snapped_clusters_of_all_places(spark, customers):
                 node[max(u, v)] = min(u, v)
     got = {r.pid: r.node for r in QUERIES["snapped_endpoint_clusters"](spark, sf).collect()}
     assert got == {i: head(i) for i in places}
+
+
+def test_crossings_of_all_lines(spark, tmp_path):
+    spark.range(90).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {}
+    for a in range(90):
+        for b in range(a + 1, 90):
+            start, end = (b - a) * 10.0, ((b * 7) % 100 - (a * 7) % 100) * 10.0
+            if start != end and 0 <= start / (start - end) <= 1:
+                t = start / (start - end)
+                want[a, b] = (a * 10.0 + t * ((a * 7) % 100 * 10.0 - a * 10.0), t * 1000.0)
+    got = {(r.a, r.b): (r.x, r.y) for r in QUERIES["line_crossings"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and max(b for _, b in got) > 40
+    for pair, p in got.items():
+        assert p == pytest.approx(want[pair], abs=2e-3)
