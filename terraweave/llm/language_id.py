@@ -131,17 +131,22 @@ class CrossParser:
 
 
 def train(labelled: DataFrame, text: str, lang: str) -> CrossParser | None:
-    """Automata over at most TRAIN_SYMBOLS of each language, from about TRAIN_TEXTS texts.
+    """Automata over at most TRAIN_SYMBOLS of each language, from about TRAIN_TEXTS texts or more.
 
-    Texts are drawn by their hash, copies once, so the sample is spread over all labelled rows
-    and does not change with their order. Nothing labelled gives None.
+    Of a language's distinct texts with a letter, about one in `every` is drawn by its hash: so
+    many that there are TRAIN_TEXTS texts and twice TRAIN_SYMBOLS characters, or all of them.
+    The sample is spread over all labelled rows and changes neither with their order nor with
+    copies. Nothing labelled gives None.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
+    labelled = labelled.where(F.substring("text", 1, TEXT_SYMBOLS).rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    size = F.least(F.length("text"), F.lit(TEXT_SYMBOLS)).cast("long")
+    distinct = labelled.groupBy("lang", "h").agg(F.min(size).alias("size")).groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    steps = {r["lang"]: max(1, min(r["n"] // TRAIN_TEXTS, r["size"] // (2 * TRAIN_SYMBOLS))) for r in distinct.collect()}
+    if not steps:
         return None
-    every = F.coalesce(*[F.when(F.col("lang") == name, F.lit(max(1, n // TRAIN_TEXTS))) for name, n in counts.items()])
-    drawn = labelled.withColumn("h", F.xxhash64("text")).where(F.pmod("h", every) == 0)
+    every = F.coalesce(*[F.when(F.col("lang") == name, F.lit(n)) for name, n in steps.items()])
+    drawn = labelled.where(F.pmod("h", every) == 0)
     drawn = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", 1, 4 * TEXT_SYMBOLS)).alias("text")).orderBy("lang", "h")
     parts: dict[str, list[np.ndarray]] = {}
     for r in drawn.toLocalIterator():
