@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
 from . import kernels as K
 
 WINDOW = 10
@@ -95,6 +96,73 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[l
     return [[(r.i, r.t.encode()) for r in rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).toLocalIterator()] for k in range(n)]
 
 
+def _hits(rows: DataFrame, row: str, text: str, blocks: list[list[tuple[str, bytes]]], window: int, spans: bool) -> DataFrame:
+    """row, hit_ranges (merged over all blocks), items: one row for each row with a hit in any block."""
+
+    def hits(batches, held):
+        for ids, _, _, merged, items in _scan(batches, held.value, spans):
+            keep = [i for i, ranges in enumerate(merged) if ranges]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array([merged[i] for i in keep], pa.list_(pa.int32())), pa.array([items[i] for i in keep], pa.list_(pa.string()))], ["row", "hit_ranges", "items"])
+
+    found = None
+    for block in blocks:
+        held = rows.sparkSession.sparkContext.broadcast(WindowSet(block, window))
+        part = rows.select(row, text).mapInArrow(lambda b, held=held: hits(b, held), "row bigint, hit_ranges array<int>, items array<string>")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("hit_ranges")).alias("hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    starts, ends = F.filter("hit_ranges", lambda _, i: i % 2 == 0), F.filter("hit_ranges", lambda _, i: i % 2 == 1)
+    ordered = F.array_sort(F.arrays_zip(starts.alias("a"), ends.alias("b")))
+    merged = F.aggregate(
+        ordered, F.array().cast("array<int>"),
+        lambda out, x: F.when((F.size(out) > 0) & (x["a"] <= F.try_element_at(out, F.lit(-1))), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.greatest(F.try_element_at(out, F.lit(-1)), x["b"]))))
+        .otherwise(F.concat(out, F.array(x["a"], x["b"]))),
+    )
+    return found.select("row", merged.alias("hit_ranges"), "items")
+
+
+def _cut(value: str | None, ranges) -> str | None:
+    """The text without its byte ranges."""
+    if not ranges:
+        return value
+    raw, at, out = (value or "").encode(), 0, b""
+    for a, b in zip(ranges[::2], ranges[1::2], strict=True):
+        out, at = out + raw[at:a], b
+    return (out + raw[at:]).decode()
+
+
+def _in_blocks(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], doc_id: str, text: str, window: int, action: str) -> DataFrame:
+    """The same answers from several blocks: rows are staged with a key, and all blocks scan the texts as they came."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = _hits(rows, row, text, blocks, window, action == "cut").withColumnRenamed("row", row)
+    if action == "drop":
+        return rows.join(hits, row, "left_anti").select(docs.columns)
+    if action == "report":
+
+        def count(batches):
+            for batch in batches:
+                for r, end, data, offsets in K.chunks(batch.column(2)):
+                    n = np.diff(K.words(data, offsets, K.ALNUM_WORDS, lower=True).first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, end - r), batch.column(1).slice(r, end - r), pa.array(n, pa.int64())], [row, "doc_id", "n_words"])
+
+        kind = docs.schema[doc_id].dataType.simpleString()
+        counted = rows.select(row, F.col(doc_id).alias("doc_id"), text).mapInArrow(count, f"{row} bigint, doc_id {kind}, n_words bigint")
+        none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+        return counted.join(hits, row, "left").select("doc_id", "n_words", none("hit_ranges", "array<int>"), none("items", "array<string>"))
+    names, at = docs.columns, docs.columns.index(text)
+
+    def cut(batches):
+        for batch in batches:
+            ranges = batch.column(len(names)).to_pylist()
+            texts = [_cut(t, r) for t, r in zip(batch.column(at).to_pylist(), ranges, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(names))], names)
+
+    joined = rows.join(hits.select(row, F.col("hit_ranges").alias(f"{row}ranges")), row, "left")
+    return joined.select(*names, f"{row}ranges").mapInArrow(cut, docs.schema)
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = WINDOW, action: str = "report", max_set_bytes: int = MAX_SET_BYTES,
@@ -107,51 +175,42 @@ def decontaminate(
     begin and end), items. action "drop": rows of docs without a hit, all columns kept. action
     "cut": all rows of docs, with hit spans taken out of the text. Windows are found by hash and
     compared word by word, so collisions cannot hit. Beyond max_set_bytes the benchmark is
-    scanned in blocks and the ranges of a row are joined. Null or empty text has no words and is
+    scanned in blocks, with the same answers: all blocks scan the given texts, staged with a key
+    for each row, and the ranges of a row are joined on it. Null or empty text has no words and is
     kept; null items and items without words have no window; an empty benchmark hits nothing;
     rows that repeat are judged each on its own; other columns pass through.
     """
     K.small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_id, item_text, max_set_bytes)
+    if len(blocks) > 1:
+        return _in_blocks(docs, blocks, doc_id, text, window, action)
+    held = docs.sparkSession.sparkContext.broadcast(WindowSet(blocks[0], window))
     if action == "report":
         kind = docs.schema[doc_id].dataType.simpleString()
 
-        def report(batches, held):
+        def report(batches):
             for ids, _, counts, merged, items in _scan(batches, held.value, spans=False):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(merged, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hit_ranges", "items"])
 
-        out = None
-        for block in blocks:
-            held = docs.sparkSession.sparkContext.broadcast(WindowSet(block, window))
-            part = docs.select(doc_id, text).mapInArrow(lambda b, held=held: report(b, held), f"doc_id {kind}, n_words bigint, hit_ranges array<int>, items array<string>")
-            out = part if out is None else out.unionByName(part)
-        if len(blocks) > 1:
-            out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_ranges")).alias("hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        return out
-    for block in blocks:
-        held = docs.sparkSession.sparkContext.broadcast(WindowSet(block, window))
-        names, at = docs.columns, docs.columns.index(text)
-
-        def act(batches, held=held, names=names, at=at):
-            for batch in batches:
-                pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["i", "t"])
-                keep, texts = [], []
-                for ids, part, _, merged, _ in _scan([pair], held.value, spans=True):
-                    for i, t, ranges in zip(ids.to_pylist(), part.to_pylist(), merged, strict=True):
-                        if action == "drop":
-                            keep += [i] if not ranges else []
-                        else:
-                            raw, cut, out = (t or "").encode(), 0, b""
-                            for a, b in zip(ranges[::2], ranges[1::2], strict=True):
-                                out, cut = out + raw[cut:a], b
-                            texts.append(t if not ranges else (out + raw[cut:]).decode())
-                if action == "drop":
-                    yield batch.take(pa.array(keep, pa.int64()))
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(names))], names)
+        return docs.select(doc_id, text).mapInArrow(report, f"doc_id {kind}, n_words bigint, hit_ranges array<int>, items array<string>")
+    names, at = docs.columns, docs.columns.index(text)
+
+    def act(batches):
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["i", "t"])
+            keep, texts = [], []
+            for ids, part, _, merged, _ in _scan([pair], held.value, spans=True):
+                for i, t, ranges in zip(ids.to_pylist(), part.to_pylist(), merged, strict=True):
+                    if action == "drop":
+                        keep += [i] if not ranges else []
+                    else:
+                        texts.append(_cut(t, ranges))
+            if action == "drop":
+                yield batch.take(pa.array(keep, pa.int64()))
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(len(names))], names)
 
-        docs = docs.mapInArrow(act, docs.schema)
-    return docs
+    return docs.mapInArrow(act, docs.schema)
 
 
 def contamination_digest(report: DataFrame) -> DataFrame:
