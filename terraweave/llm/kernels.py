@@ -1,8 +1,9 @@
 """Vectorised byte kernels over Arrow text columns: words, hashes and windows without Python strings.
 
-Hashes are polynomial sums modulo 2**64 over fixed random byte values, so a word's hash is a
-difference of two prefix sums. Memory is about forty bytes for each byte of a chunk, and a
-chunk holds whole texts of CHUNK bytes together or one longer text.
+A word's hash sums a scrambled value of each byte and its place in the word, so no two words
+collide by their structure; a second lane, scrambled in another way, makes 128 bits of the two.
+Window hashes are polynomials over word hashes. Memory is about forty bytes for each byte of a
+chunk, and a chunk holds whole texts of CHUNK bytes together or one longer text.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 18
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Places in a word whose byte values are looked up; later ones are computed, by the same rule.
+_SPOTS = 64
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_tables: dict[int, np.ndarray] = {}
 _STEP = 0xD1342543DE82EF95
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -32,7 +33,6 @@ ALNUM_WORDS = np.zeros(256, bool)
 ALNUM_WORDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[LOWER]
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -93,29 +93,49 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    twins: np.ndarray | None = None
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -> Words:
+def _byte_values(codes: np.ndarray, lane: int) -> np.ndarray:
+    """A scrambled value for each code (256 * place + byte)."""
+    rule = lambda c: mix(mix(c.astype(np.uint64) + _LANES[lane]) * _LANES[lane])
+    if lane not in _tables:
+        _tables[lane] = rule(np.arange(256 * _SPOTS))
+    if not len(codes) or codes.max() < 256 * _SPOTS:
+        return _tables[lane].take(codes)
+    out, far = np.empty(len(codes), np.uint64), codes >= 256 * _SPOTS
+    out[far], out[~far] = rule(codes[far]), _tables[lane].take(codes[~far])
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool, twin: bool = False) -> Words:
     n = len(data)
+    empty = np.zeros(0, np.int64)
+    none = Words(empty, empty, empty.astype(np.uint64), np.zeros(len(offsets), np.int64), empty.astype(np.uint64) if twin else None)
     if not n:
-        empty = np.zeros(0, np.int64)
-        return Words(empty, empty, empty.astype(np.uint64), np.zeros(len(offsets), np.int64))
+        return none
     inside = table[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    if not len(starts):
+        return none
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * powers(_BASE, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * powers(_BASE_INV, n)[starts])
-    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+    lengths = ends - starts
+    begin = np.cumsum(lengths) - lengths
+    codes = np.arange(begin[-1] + lengths[-1])
+    codes -= np.repeat(begin, lengths)
+    codes <<= 8
+    codes += (LOWER[data] if lower else data)[inside]
+    lanes = [mix(np.add.reduceat(_byte_values(codes, lane), begin)) for lane in range(1 + twin)]
+    return Words(starts, ends, lanes[0], np.searchsorted(starts, offsets), lanes[1] if twin else None)
 
 
 def windows(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
@@ -158,6 +178,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def times(x: np.ndarray, w: np.ndarray, block: int = 1024) -> np.ndarray:
+    """x @ w, each row by the same arithmetic wherever it stands: every product has the same shape."""
+    out = np.empty((len(x), w.shape[1]), np.result_type(x, w))
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        if len(part) < block:
+            part = np.concatenate((part, np.zeros((block - len(part), x.shape[1]), x.dtype)))
+        out[at : at + block] = (part @ w)[: len(x) - at]
+    return out
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
