@@ -6,9 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import drop_staged, staged
 from . import kernels as K
 from .language_id import held_out
 
@@ -16,6 +17,8 @@ from .language_id import held_out
 PASSAGE = 64
 #: Labelled documents, drawn by the hash of their id, from which the classifier is fitted.
 TRAIN_DOCS = 4096
+#: Passages that they may have together: 29 MB of features on the driver.
+TRAIN_PASSAGES = 1 << 17
 BIGRAMS = 64
 HIDDEN = 24
 EPOCHS = 30
@@ -49,8 +52,10 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     many = np.maximum(sizes, 1)[:, None]
     out[:, :CLASSES] = np.bincount(of_byte * CLASSES + _CLASS[data], minlength=total * CLASSES).reshape(total, CLASSES) / many
     if len(data) > 1:
+        # A pair belongs to the passage that holds both bytes; none crosses into the next passage or row.
+        inner = of_byte[:-1] == of_byte[1:]
         pair = (data[:-1].astype(np.int64) * 31 + data[1:]) * 40503 >> 7 & (BIGRAMS - 1)
-        out[:, CLASSES : CLASSES + BIGRAMS] = np.bincount(of_byte[:-1] * BIGRAMS + pair, minlength=total * BIGRAMS).reshape(total, BIGRAMS) / many
+        out[:, CLASSES : CLASSES + BIGRAMS] = np.bincount((of_byte[:-1] * BIGRAMS + pair)[inner], minlength=total * BIGRAMS).reshape(total, BIGRAMS) / many
     n = np.bincount(of_word, minlength=total)
     one = np.maximum(n, 1)
     stats = out[:, CLASSES + BIGRAMS :]
@@ -76,7 +81,11 @@ def _features(column: pa.Array):
 
 @dataclass
 class AttentionModel:
-    """Passage encoder tanh(We x + be), gated attention over passages, a logistic head."""
+    """Passage encoder tanh(We x + be), gated attention over passages, a logistic head.
+
+    A document's score depends on its passages alone, to the last bit: products have one shape,
+    and sums run over one row or one document.
+    """
 
     mean: np.ndarray
     spread: np.ndarray
@@ -84,16 +93,16 @@ class AttentionModel:
 
     def forward(self, x: np.ndarray, first: np.ndarray):
         p = self.weights
-        h = np.tanh(x @ p["We"] + p["be"])
-        t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * g) @ p["w"]
+        h = np.tanh(K.times(x, p["We"]) + p["be"])
+        t, g = np.tanh(K.times(h, p["V"])), 1 / (1 + np.exp(-K.times(h, p["U"])))
+        e = (t * g * p["w"]).sum(1)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, first[:-1]), np.diff(first)))
         a = e / np.repeat(np.add.reduceat(e, first[:-1]), np.diff(first))
         z = np.add.reduceat(a[:, None] * h, first[:-1], axis=0)
-        return h, t, g, a, z, z @ p["o"] + p["c"]
+        return h, t, g, a, z, (z * p["o"]).sum(1) + p["c"]
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward((x - self.mean) / self.spread, first)[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.forward((x - self.mean) / self.spread, first)[-1].astype(np.float64), -30, 30)))
 
 
 def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> AttentionModel:
@@ -130,10 +139,20 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = EPOCH
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = TRAIN_DOCS) -> AttentionModel | None:
+def _first_texts(rows: DataFrame) -> DataFrame:
+    """Of the texts that repeat an id, the one with the smallest hash."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct("h", "n", "x", "y")).alias("r")).select("doc_id", "r.*")
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = TRAIN_DOCS, max_passages: int = TRAIN_PASSAGES,
+) -> AttentionModel | None:
     """Fit on about max_docs labelled documents, drawn by the hash of their id; their whole texts count.
 
-    Rows with a null id, label or text teach nothing; None where nothing or only one label is left.
+    Of those drawn, the driver gets texts in hash order as long as they fit into max_passages
+    together, so a text of more passages than that teaches nothing. Rows with a null id, label
+    or text teach nothing either; an id with several labels has the largest, one with several
+    texts the one with the smallest hash; None where nothing or only one label is left.
     """
     labels = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y"))
     every = max(1, -(-labels.count() // max_docs))
@@ -143,25 +162,34 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     def run(batches):
         for batch in batches:
-            y = batch.column(1).to_numpy()
             for row, end, x, first in _features(batch.column(0)):
                 parts = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(y[row:end])], ["x", "y"])
-
-    got = rows.select("text", "y").mapInArrow(run, "x binary, y double").toArrow()
-    y = got["y"].to_numpy()
+                count = pa.array(np.diff(first))
+                rest = [batch.column(i).slice(row, end - row) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*rest, count, pa.array(parts, pa.binary())], ["doc_id", "h", "y", "n", "x"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    got = rows.select("text", "doc_id", F.xxhash64("text").alias("h"), "y").mapInArrow(run, f"doc_id {kind}, h bigint, y double, n bigint, x binary")
+    got = staged(_first_texts(got))
+    # About max_docs rows: the passages that come before, in hash order.
+    size = Window.orderBy(F.xxhash64("h", "doc_id"), "h", "doc_id")
+    fit_in = got.where(F.col("n") <= max_passages).select("doc_id", F.sum("n").over(size).alias("upto")).where(F.col("upto") <= max_passages)
+    table = got.join(F.broadcast(fit_in), "doc_id").select("x", "y").toArrow()
+    drop_staged(got)
+    y = table["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None
-    x = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in got["x"].to_pylist()]
-    order = np.lexsort((y, [float(a.sum()) for a in x], [len(a) for a in x]))
-    x, y = [x[i] for i in order], y[order]
-    return fit(np.concatenate(x), np.concatenate(([0], np.cumsum([len(a) for a in x]))), y.astype(np.float32))
+    raw = table["x"].to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (raw[i], y[i]))
+    x = [np.frombuffer(raw[i], np.float16).reshape(-1, FEATURES).astype(np.float32) for i in order]
+    return fit(np.concatenate(x), np.concatenate(([0], np.cumsum([len(a) for a in x]))), y[order].astype(np.float32))
 
 
 def classify(docs: DataFrame, model: AttentionModel | None, *, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """docs (or some columns of it) with score (0 to 1) and predicted (1 if score >= 0.5), over whole texts.
 
-    Null and empty texts are one passage without features and get that passage's score; without
+    A score depends on the text alone, whatever rows, batches or partitions surround it. Null and
+    empty texts are one passage without features and get that passage's score; without
     a model every score is 0.5; repeated rows score alike; columns score and predicted are
     replaced; no rows give no rows.
     """

@@ -61,7 +61,7 @@ def test_quality_gradient_and_odd_rows(spark, odd, none, docs):
     got = quality.classify(odd, model)
     assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     scores = {r.doc_id: r.score for r in got.collect()}
-    assert scores[1] == scores[2] and scores[5] == pytest.approx(scores[14], abs=1e-4)
+    assert scores[1] == scores[2] and scores[5] == scores[14]
     assert quality.classify(none, model).count() == 0 and quality.train(none, labels) is None
     assert {r.score for r in quality.classify(odd, None).collect()} == {0.5}
     nulls = labels.limit(1).select(F.lit(None).cast("bigint").alias("doc_id"), "quality", "toxic").unionByName(labels.withColumn("quality", F.lit(None).cast("bigint")))
