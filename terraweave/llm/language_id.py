@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Symbols of training text for each language, and labelled texts from which they come.
+#: Symbols of training text for each language, from whole texts, and texts from which they come.
 TRAIN_SYMBOLS = 16384
 TRAIN_TEXTS = 64
-#: Symbols that one training text may give.
-TEXT_SYMBOLS = 2048
-#: Texts are parsed in pieces of this many symbols; a phrase ends with its piece.
+#: Equal parts that a language gives of its shortest text where every text of it is longer than TRAIN_SYMBOLS.
+PARTS = 16
+#: Texts are parsed in pieces of this many symbols side by side; phrases run on from piece to piece.
 PIECE = 256
+#: Symbols, and languages, that are parsed side by side.
+SPAN = 1 << 18
+ABREAST = 8
 #: Sharpness of the score: odds double for each 1 / SHARPNESS bits a symbol.
 SHARPNESS = 6.0
 UNKNOWN = "und"
@@ -112,50 +115,93 @@ class CrossParser:
     def bits(self, codes: list[np.ndarray]) -> np.ndarray:
         """Bits a symbol of each text under each language; each text must have a symbol."""
         counts = np.array([len(c) for c in codes])
-        pieces = -(-counts // PIECE)
-        owner = np.repeat(np.arange(len(codes)), pieces)
-        grid = np.full((len(owner), PIECE), self.width - 1, np.int32)
+        phrases = np.empty((len(codes), len(self.languages)))
+        short = np.flatnonzero(counts <= SPAN)
+        for at in range(0, len(self.roots), ABREAST):
+            roots = np.array(self.roots[at : at + ABREAST], self.table.dtype)[:, None]
+            if len(short):
+                phrases[short, at : at + ABREAST] = 1 + self._parse([codes[i] for i in short], np.repeat(roots, len(short), 1))[0].T
+            for i in np.flatnonzero(counts > SPAN):
+                state, total = roots, np.ones(len(roots))
+                for begin in range(0, counts[i], SPAN):
+                    starts, state = self._parse([codes[i][begin : begin + SPAN]], state)
+                    total += starts[:, 0]
+                phrases[i, at : at + ABREAST] = total
+        return phrases * np.array(self.scale) / counts[:, None]
+
+    def _parse(self, codes: list[np.ndarray], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that start in each text, and its last state, by language; entry holds the first states.
+
+        All pieces are parsed at once as if a phrase began with each. Then each takes the state
+        in which its predecessor ends, and is parsed anew up to the place where the states agree;
+        if they never do, its successor follows. What comes out is the parse of the whole text.
+        """
+        pieces = np.array([-(-len(c) // PIECE) for c in codes])
+        first = np.cumsum(pieces) - pieces
+        grid = np.full((pieces.sum(), PIECE), self.width - 1, np.int32)
         flat = grid.ravel()
-        first = np.concatenate(([0], np.cumsum(pieces)))
-        for c, at in zip(codes, first[:-1] * PIECE, strict=True):
+        for c, at in zip(codes, first * PIECE, strict=True):
             flat[at : at + len(c)] = self.lookup[c]
         grid = np.ascontiguousarray(grid.T)
-        state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], len(owner), 1)
-        phrases = np.ones(state.shape, np.int32)
-        for row in grid:
-            step = self.table.take(state + row)
-            phrases += step & 1
-            state = step >> 1
-        total = np.add.reduceat(phrases, first[:-1], axis=1).T
-        return total * np.array(self.scale) / counts[:, None]
+        begin = np.repeat(self.table.dtype.type(0) + entry.min(1, keepdims=True), grid.shape[1], 1)
+        begin[:, first] = entry
+        steps, state = np.empty((PIECE, *begin.shape), self.table.dtype), begin
+        for t, row in enumerate(grid):
+            steps[t] = self.table.take(state + row)
+            state = steps[t] >> 1
+        end, heads = state, np.zeros(grid.shape[1] + 1, bool)
+        heads[first] = heads[-1] = True
+        k, p = np.nonzero(np.broadcast_to(~heads[:-1], end.shape))
+        while len(k):
+            wrong = begin[k, p] != end[k, p - 1]
+            k, p = k[wrong], p[wrong]
+            state = begin[k, p] = end[k, p - 1]
+            for t in range(PIECE):
+                new = self.table.take(state + grid[t, p])
+                apart = new != steps[t, k, p]
+                steps[t, k, p] = new
+                k, p, state = k[apart], p[apart], new[apart] >> 1
+                if not len(k):
+                    break
+            end[k, p] = state
+            more = ~heads[p + 1]
+            k, p = k[more], p[more] + 1
+        last = first + pieces - 1
+        return np.add.reduceat((steps & 1).sum(0), first, axis=1), end[:, last]
 
 
 def train(labelled: DataFrame, text: str, lang: str) -> CrossParser | None:
-    """Automata over at most TRAIN_SYMBOLS of each language, from about TRAIN_TEXTS texts or more.
+    """Automata over at most TRAIN_SYMBOLS of each language, from about TRAIN_TEXTS whole texts or more.
 
-    Of a language's distinct texts with a letter, about one in `every` is drawn by its hash: so
-    many that there are TRAIN_TEXTS texts and twice TRAIN_SYMBOLS characters, or all of them.
-    The sample is spread over all labelled rows and changes neither with their order nor with
+    Of a language's distinct texts with a letter and of TRAIN_SYMBOLS characters at most, about
+    one in `every` is drawn by its hash: so many that there are TRAIN_TEXTS texts and twice
+    TRAIN_SYMBOLS characters, or all of them. In hash order, each text that fits into the room
+    left is taken whole. A language that has longer texts only gives PARTS equal parts, spread
+    over the whole of its shortest. The sample changes neither with the order of rows nor with
     copies. Nothing labelled gives None.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    labelled = labelled.where(F.substring("text", 1, TEXT_SYMBOLS).rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    size = F.least(F.length("text"), F.lit(TEXT_SYMBOLS)).cast("long")
-    distinct = labelled.groupBy("lang", "h").agg(F.min(size).alias("size")).groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    steps = {r["lang"]: max(1, min(r["n"] // TRAIN_TEXTS, r["size"] // (2 * TRAIN_SYMBOLS))) for r in distinct.collect()}
-    if not steps:
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).select("*", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("size"))
+    distinct = labelled.groupBy("lang", "h").agg(F.min("size").alias("size"))
+    fits = F.col("size") <= TRAIN_SYMBOLS
+    known = distinct.groupBy("lang").agg(F.count_if(fits).alias("n"), F.sum(F.when(fits, F.col("size"))).alias("size"), F.min(F.struct("size", "h")).alias("least")).collect()
+    if not known:
         return None
-    every = F.coalesce(*[F.when(F.col("lang") == name, F.lit(n)) for name, n in steps.items()])
-    drawn = labelled.where(F.pmod("h", every) == 0)
-    drawn = drawn.groupBy("lang", "h").agg(F.min(F.substring("text", 1, 4 * TEXT_SYMBOLS)).alias("text")).orderBy("lang", "h")
+    steps = {r["lang"]: max(1, min(r["n"] // TRAIN_TEXTS, r["size"] // (2 * TRAIN_SYMBOLS))) for r in known if r["n"]}
+    every = F.coalesce(*[F.when(F.col("lang") == name, F.lit(n)) for name, n in steps.items()], F.lit(None).cast("int"))
+    drawn = labelled.where(fits & (F.pmod("h", every) == 0)).select("lang", "h", "text")
+    alone = [F.struct(F.lit(r["lang"]), F.lit(r["least"]["h"])) for r in known if not r["n"]]
+    if alone:
+        part = TRAIN_SYMBOLS // PARTS - 1
+        cut = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("text", (i * (F.col("size") - part) / (PARTS - 1)).cast("int") + 1, F.lit(part))), "\n")
+        drawn = drawn.unionByName(labelled.where(F.struct("lang", "h").isin(alone)).select("lang", "h", cut.alias("text")))
+    drawn = drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h")
     parts: dict[str, list[np.ndarray]] = {}
     for r in drawn.toLocalIterator():
-        got = parts.setdefault(r["lang"], [])
-        room = TRAIN_SYMBOLS - sum(map(len, got))
-        if room > 0:
-            got.append(np.append(_codes(r["text"])[: min(room, TEXT_SYMBOLS)], 0)[:room])
-    texts = {name: np.concatenate(got).astype(np.uint32) for name, got in parts.items()}
-    texts = {name: codes for name, codes in texts.items() if codes.any()}
+        got, codes = parts.setdefault(r["lang"], []), np.append(_codes(r["text"]), 0)
+        if codes.any() and sum(map(len, got)) + len(codes) <= TRAIN_SYMBOLS + 1:
+            got.append(codes)
+    texts = {name: np.concatenate(got)[:-1].astype(np.uint32) for name, got in parts.items() if got}
     return CrossParser(texts) if texts else None
 
 
@@ -195,7 +241,7 @@ def identify(docs: DataFrame, parser: CrossParser | None, *, text: str = "text")
                     todo.append(i)
                     held_codes.append(codes)
                     size += len(codes)
-                    if size > 1 << 18:
+                    if size > SPAN:
                         parse()
                         todo, held_codes, size = [], [], 0
             if todo:

@@ -12,21 +12,54 @@ from terraweave.llm.queries import op1_language_id, op2_quality_classifier
 SF = "/root/testdata/sf0.01"
 
 
-def test_cross_parsing_counts_longest_matches():
+def longest_matches(doc, known):
+    """Phrases of the greedy parse of a whole text, by search in the training text."""
+    at, phrases = 0, 0
+    while at < len(doc):
+        n = 1
+        while at + n < len(doc) and doc[at : at + n + 1] in known:
+            n += 1
+        at, phrases = at + (n if doc[at : at + n] in known else 1), phrases + 1
+    return phrases
+
+
+@pytest.mark.parametrize("piece,span", [(256, 1 << 18), (16, 1 << 18), (8, 100)])
+def test_cross_parsing_counts_longest_matches(monkeypatch, piece, span):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    monkeypatch.setattr(language_id, "SPAN", span)
+    monkeypatch.setattr(language_id, "ABREAST", 2)
     rng = np.random.default_rng(2)
-    texts = {"a": rng.integers(97, 101, 300).astype(np.uint32), "b": rng.integers(97, 103, 200).astype(np.uint32)}
+    texts = {"a": rng.integers(97, 101, 300).astype(np.uint32), "b": rng.integers(97, 103, 200).astype(np.uint32), "c": np.tile([97, 98, 98], 400).astype(np.uint32)}
+    docs = [rng.integers(97, 105, n).astype(np.uint32) for n in rng.integers(1, 600, 20)]
+    # Phrases longer than pieces, texts that repeat, a training text itself.
+    docs += [np.tile([97, 98, 98], 300).astype(np.uint32), np.full(700, 97, np.uint32), texts["a"], np.concatenate((texts["b"], texts["a"][5:250], texts["c"])), docs[0][:1]]
     parser = language_id.CrossParser(texts)
-    for _ in range(20):
-        doc = rng.integers(97, 105, rng.integers(1, 600)).astype(np.uint32)
-        bits = parser.bits([doc])[0]
+    got = parser.bits(docs)
+    for doc, bits in zip(docs, got, strict=True):
         for k, name in enumerate(parser.languages):
-            known, phrases = "".join(map(chr, texts[name])), 0
-            for at in range(0, len(doc), language_id.PIECE):
-                piece = "".join(map(chr, doc[at : at + language_id.PIECE]))
-                while piece:
-                    n = max((n for n in range(1, len(piece) + 1) if piece[:n] in known), default=1)
-                    piece, phrases = piece[n:], phrases + 1
-            assert bits[k] == pytest.approx(phrases * math.log2(len(known)) / len(doc))
+            known = "".join(map(chr, texts[name]))
+            assert bits[k] == pytest.approx(longest_matches("".join(map(chr, doc)), known) * math.log2(len(known)) / len(doc))
+    assert (np.concatenate([parser.bits([d]) for d in docs]) == got).all()
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Five languages of 600 rows each; four have one distinct text, one of them a very long one."""
+    rng = np.random.default_rng(9)
+    say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(say("abcdefgh", 60), "many") for _ in range(600)]
+    for name, text in (("one", say("ijklmnop", 80)), ("two", say("qrstuvwx", 80)), ("three", say("абвгдежз", 80)), ("four", say("αβγδεζηθ", 9000))):
+        rows += [(text, name)] * 600
+    parser = language_id.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert parser.languages == ["four", "many", "one", "three", "two"]
+    assert max(2**s for s in parser.scale) <= language_id.TRAIN_SYMBOLS + 1
+    other = say("αβγδεζηθ", 30)
+    assert language_id.identify(spark.createDataFrame([(other,)], "text string"), parser).first().lang_pred == "four"
+
+
+def test_language_does_not_depend_on_neighbours(spark, docs):
+    parser = language_id.train(docs, "text", "lang")
+    key = lambda df: sorted((r.doc_id, r.lang_pred, r.score, r.bits, r.accepted) for r in language_id.identify(df, parser).collect())
+    assert key(docs) == key(docs.orderBy(F.xxhash64("doc_id")).coalesce(1)) == key(docs.repartition(7, "doc_id"))
 
 
 def test_language_accuracy_on_held_out_documents(spark):
