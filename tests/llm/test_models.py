@@ -122,9 +122,10 @@ def test_network_gradient_matches_differences():
     rng = np.random.default_rng(1)
     net = pseudo_likelihood.Network.fresh()
     near, target = rng.integers(0, pseudo_likelihood.CLASSES + 1, (4, 50)), rng.integers(0, pseudo_likelihood.CLASSES, 50)
-    loss = lambda flat: -pseudo_likelihood.Network.of(flat).log_probability(near, target).mean()
+    branch = rng.integers(0, pseudo_likelihood.BRANCHES, 50)
+    loss = lambda flat: -pseudo_likelihood.Network.of(flat).log_probability(near, target, branch).mean()
     start, moved = net.flat().astype(np.float64), pseudo_likelihood.Network.of(net.flat())
-    moved.train(near, target, 1.0)
+    moved.train(near, target, branch, 1.0)
     gradient = start - moved.flat()
     direction = rng.normal(0, 1, len(start))
     step = 1e-3
@@ -133,11 +134,13 @@ def test_network_gradient_matches_differences():
 
 def test_both_sides_tell_more_than_frequency(docs):
     model = pseudo_likelihood.train(docs)
-    for _, _, slot, ending, first in pseudo_likelihood._tokens(docs.select("text").toArrow()["text"].combine_chunks()):
-        classes = pseudo_likelihood._classes(slot, ending, model.own)
-        share = np.bincount(classes, minlength=pseudo_likelihood.CLASSES) / len(classes)
-        alone = np.log(share[classes]).mean()
-        assert model.network.log_probability(pseudo_likelihood.neighbours(classes, first), classes).mean() > alone
+    for _, _, words, leaf, first in pseudo_likelihood._tokens(docs.select("text").toArrow()["text"].combine_chunks()):
+        classes = pseudo_likelihood._classes(words, leaf, model.own)
+        size = pseudo_likelihood.BRANCHES
+        place = classes * size + np.where(classes >= pseudo_likelihood.OWN, leaf % size, 0)
+        share = np.bincount(place, minlength=pseudo_likelihood.CLASSES * size) / len(classes)
+        alone = np.log(share[place]).mean()
+        assert model.network.log_probability(pseudo_likelihood.neighbours(classes, first), classes, leaf % size).mean() > alone
         break
 
 
