@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_hot
+from ..plans.staging import drop_staged, staged
+
 #: Distinct sites from which a line is cross-site boilerplate.
 MIN_SITES = 10
 #: log2 of the registers of a sketch; its standard error is about 1.04 / 2**(LG_K / 2).
@@ -25,16 +28,24 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def spread(lines: DataFrame, min_sites: int, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
-    """Hashes of the lines on min_sites sites or more, with their first place (doc_id, pos)."""
+    """Hashes of the lines on min_sites sites or more, with their first place (doc_id, pos).
+
+    Only what the sketches let near the threshold is met with the lines again, and distinct sites
+    are merged in each task first, so a line that stands on most rows is never one task's work.
+    """
     lines = lines.where("h1 is not null and site is not null")
     sketched = lines.groupBy("h1", "h2").agg(
         F.count("*").alias("n"), F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first")
     )
     sketched = sketched.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    sketched = staged(sketched.where(F.col("sites") >= min_sites * (1 - near)))
     clear = sketched.where(F.col("sites") > min_sites * (1 + near)).select("h1", "h2", "first")
-    close = sketched.where(F.col("sites").between(min_sites * (1 - near), min_sites * (1 + near))).select("h1", "h2", "first")
-    exact = lines.select("h1", "h2", "site").distinct().join(close, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.min("first").alias("first"))
-    return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2", "first"))
+    close = sketched.where(F.col("sites") <= min_sites * (1 + near)).select("h1", "h2", "first")
+    met = join_hot(lines.select("h1", "h2", "site", "k1", "pos"), close.select("h1", "h2"), ["h1", "h2"], F.struct("k1", "pos"), width=32)
+    exact = met.select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    wide = staged(clear.unionByName(close.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi")))
+    drop_staged(sketched)
+    return wide
 
 
 def dedup_lines(
@@ -59,7 +70,8 @@ def dedup_lines(
     lines = _lines(keyed)
     wide = spread(lines, min_sites)
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")) if keep_first else F.lit(False)
-    marked = lines.where("h1 is not null").join(wide, ["h1", "h2"]).where(~kept).select("k1", "k2", "pos").distinct()
+    marked = join_hot(lines.where("h1 is not null"), wide, ["h1", "h2"], F.struct("k1", "pos"), width=F.lit(64) + F.octet_length(F.coalesce(F.col("first.doc_id").cast("string"), F.lit(""))))
+    marked = marked.where(~kept).select("k1", "k2", "pos").distinct()
     # A bitmap of 32 lines to a word keeps the lookup of each line constant.
     words = marked.groupBy("k1", "k2", F.shiftright("pos", 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("pos").bitwiseAND(31))).alias("bits"))
     gone = words.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("words"))
