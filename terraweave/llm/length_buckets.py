@@ -85,7 +85,8 @@ def pack_by_length(
 
     Token counts are rounded up to a multiple; the histogram of all of them gives the bucket
     boundaries. A batch of bucket b holds token_budget // boundary documents, one at least,
-    ordered by length and id inside chunks of a bucket. Returns doc_id, n_tokens, bucket (from 0,
+    ordered by length and id inside chunks of a bucket; chunks are dealt by a hash of id, length
+    and text, so rows without an id or with one and the same spread over all. Returns doc_id, n_tokens, bucket (from 0,
     by length), bucket_length, batch (from 0 in each bucket), place (in the batch) and padding.
     Null and empty texts have 0 tokens and fill buckets like others, at the smallest multiple;
     equal lengths share a bucket; repeated rows count each; other columns are left out; an empty
@@ -93,7 +94,8 @@ def pack_by_length(
     """
     K.small_batches(docs.sparkSession)
     rounded = F.greatest(F.lit(multiple), F.ceil(F.col("n_tokens") / multiple) * multiple).cast("long")
-    sized = staged(token_lengths(docs, doc_id, text, vocabulary).withColumn("rounded", rounded))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text, doc_id).alias("deal"))
+    sized = staged(token_lengths(docs, "doc_id", "text", vocabulary, ("deal",)).withColumn("rounded", rounded))
     histogram = {r["rounded"]: r["count"] for r in sized.groupBy("rounded").count().toLocalIterator()}
     bounds = optimal_boundaries(histogram, buckets)
     chunks = max(1, -(-sum(histogram.values()) // CHUNK_ROWS))
@@ -102,10 +104,10 @@ def pack_by_length(
     edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
     # The table of boundaries has `buckets` rows.
     dealt = sized.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("rounded")))).join(F.broadcast(table), "bucket")
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("deal", "n_tokens"), F.lit(chunks)))
     before = dealt.groupBy("bucket", "chunk").agg(F.count("*").alias("n"))
     before = before.select("bucket", "chunk", (F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk")) - F.col("n")).alias("before"))
-    mine = Window.partitionBy("bucket", "chunk").orderBy("n_tokens", "doc_id")
+    mine = Window.partitionBy("bucket", "chunk").orderBy("n_tokens", "doc_id", "deal")
     at = F.col("before") + F.row_number().over(mine) - 1
     per = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket_length")))
     numbered = dealt.join(before, ["bucket", "chunk"]).withColumn("at", at)
