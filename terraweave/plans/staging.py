@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ConfigError
+
 _written: dict[str, tuple[SparkSession, str]] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session (one process, as in tests) gets a temporary folder of its
+    own; any other raises, as its executors could not read what the driver's machine holds.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc._jsc.sc().getCheckpointDir()
-        named = named.get() if named.isDefined() else tempfile.mkdtemp(prefix="terraweave-")
+        named = named.get() if named.isDefined() else None
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ConfigError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        named = tempfile.mkdtemp(prefix="terraweave-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
