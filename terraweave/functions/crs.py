@@ -114,45 +114,105 @@ def _atanh(x):
     return F.lit(0.5) * (F.log1p(x) - F.log1p(-x))
 
 
+def _let(then, **named: Column) -> Column:
+    """then(values), with each value computed once; written out, nested series would grow without bound."""
+    return F.transform(F.array(F.struct(*[v.cast("double").alias(k) for k, v in named.items()])), then)[0]
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def projected(crs: CRSDef, lon: Column, lat: Column) -> Column:
+    """Degrees to a struct of easting x and northing y."""
+    radius, alpha, _, _, e = _series(crs)
+
+    def last(v):
+        xi, eta = v["xi"], v["eta"]
+        for j, a in enumerate(alpha, 1):
+            xi = xi + a * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            eta = eta + a * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return _point(crs.false_easting + crs.scale * radius * eta, crs.false_northing + crs.scale * radius * xi - _arc(crs))
+
+    def conformal(v):
+        return _let(last, xi=F.atan2(v["t"], F.cos(v["dl"])), eta=_atanh(F.sin(v["dl"]) / F.sqrt(1 + v["t"] * v["t"])))
+
+    def isometric(v):
+        return _let(conformal, t=F.sinh(_atanh(v["s"]) - F.lit(e) * _atanh(F.lit(e) * v["s"])), dl=v["dl"])
+
+    return _let(isometric, s=F.sin(F.radians(lat)), dl=F.radians(lon - F.lit(crs.lon0)))
+
+
+def unprojected(crs: CRSDef, x: Column, y: Column) -> Column:
+    """Easting and northing to a struct of degrees, x longitude and y latitude."""
+    radius, _, beta, delta, _ = _series(crs)
+
+    def geographic(v):
+        lat = v["chi"]
+        for j, d in enumerate(delta, 1):
+            lat = lat + d * F.sin(2 * j * v["chi"])
+        return _point(F.lit(crs.lon0) + v["dlon"], F.degrees(lat))
+
+    def conformal(v):
+        return _let(geographic, chi=F.asin(F.sin(v["xi"]) / F.cosh(v["eta"])), dlon=F.degrees(F.atan2(F.sinh(v["eta"]), F.cos(v["xi"]))))
+
+    def series(v):
+        xi, eta = v["xi"], v["eta"]
+        for j, b in enumerate(beta, 1):
+            xi = xi - b * F.sin(2 * j * v["xi"]) * F.cosh(2 * j * v["eta"])
+            eta = eta - b * F.cos(2 * j * v["xi"]) * F.sinh(2 * j * v["eta"])
+        return _let(conformal, xi=xi, eta=eta)
+
+    return _let(series, xi=(y - crs.false_northing + _arc(crs)) / (crs.scale * radius), eta=(x - crs.false_easting) / (crs.scale * radius))
+
+
 def project(crs: CRSDef, lon: Column, lat: Column) -> tuple[Column, Column]:
     """Degrees to easting and northing."""
-    radius, alpha, _, _, e = _series(crs)
-    s, dl = F.sin(F.radians(lat)), F.radians(lon - F.lit(crs.lon0))
-    t = F.sinh(_atanh(s) - F.lit(e) * _atanh(F.lit(e) * s))
-    xi0, eta0 = F.atan2(t, F.cos(dl)), _atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    xi, eta = xi0, eta0
-    for j, a in enumerate(alpha, 1):
-        xi = xi + a * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta + a * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    return crs.false_easting + crs.scale * radius * eta, crs.false_northing + crs.scale * radius * xi - _arc(crs)
+    p = projected(crs, lon, lat)
+    return p["x"], p["y"]
 
 
 def unproject(crs: CRSDef, x: Column, y: Column) -> tuple[Column, Column]:
     """Easting and northing to degrees."""
+    p = unprojected(crs, x, y)
+    return p["x"], p["y"]
+
+
+def to_degrees(crs, x: float, y: float) -> tuple[float, float]:
+    """Longitude and latitude of one place, on the driver; the same series as unprojected."""
+    crs = require_same_crs([crs], "degrees")
+    if crs.geographic:
+        return x, y
+    if not crs.transformable:
+        raise CRSError(f"no verified transformation from {crs.code}")
     radius, _, beta, delta, _ = _series(crs)
     xi0, eta0 = (y - crs.false_northing + _arc(crs)) / (crs.scale * radius), (x - crs.false_easting) / (crs.scale * radius)
-    xi, eta = xi0, eta0
-    for j, b in enumerate(beta, 1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
-    lat = chi
-    for j, d in enumerate(delta, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return F.lit(crs.lon0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
+    xi = xi0 - sum(b * math.sin(2 * j * xi0) * math.cosh(2 * j * eta0) for j, b in enumerate(beta, 1))
+    eta = eta0 - sum(b * math.cos(2 * j * xi0) * math.sinh(2 * j * eta0) for j, b in enumerate(beta, 1))
+    chi = math.asin(math.sin(xi) / math.cosh(eta))
+    lat = chi + sum(d * math.sin(2 * j * chi) for j, d in enumerate(delta, 1))
+    return crs.lon0 + math.degrees(math.atan2(math.sinh(eta), math.cos(xi))), math.degrees(lat)
 
 
-def transform(src, dst, x: Column, y: Column) -> tuple[Column, Column]:
-    """Coordinates of src in dst; the same system changes nothing."""
+def transformed(src, dst, x: Column, y: Column) -> Column:
+    """A struct of coordinates of src in dst; the same system changes nothing."""
     src, dst = parse_crs(src), parse_crs(dst)
     if src is None or dst is None:
         raise UnknownCRSError("a coordinate system is not declared")
     if src.code == dst.code:
-        return x, y
+        return _point(x, y)
     if not (src.transformable and dst.transformable):
         raise CRSError(f"no verified transformation between {src.code} and {dst.code}")
-    lon, lat = (x, y) if src.geographic else unproject(src, x, y)
-    return (lon, lat) if dst.geographic else project(dst, lon, lat)
+    if src.geographic:
+        return _point(x, y) if dst.geographic else projected(dst, x, y)
+    lonlat = unprojected(src, x, y)
+    return lonlat if dst.geographic else _let(lambda v: projected(dst, v["x"], v["y"]), x=lonlat["x"], y=lonlat["y"])
+
+
+def transform(src, dst, x: Column, y: Column) -> tuple[Column, Column]:
+    """Coordinates of src in dst as two columns."""
+    p = transformed(src, dst, x, y)
+    return p["x"], p["y"]
 
 
 def meridian_convergence(crs, lon: Column, lat: Column) -> Column:

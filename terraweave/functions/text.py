@@ -32,8 +32,8 @@ PRIVATE_PATTERNS = (
 
 
 def normalised_field(name: Column) -> Column:
-    """Lower case, every run of other characters than a-z and 0-9 as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Lower case without white space around, every run of other characters than a-z and 0-9 as one underscore."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"^\s+|\s+$", ""), "[^a-z0-9]+", "_")
 
 
 def private_pattern(name: Column) -> Column:
