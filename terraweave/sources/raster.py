@@ -34,6 +34,11 @@ def content_hash(df: DataFrame) -> str:
     return ":".join(str(x) for x in df.agg(*one).first())
 
 
+def row_checksums(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, checksum): SHA-256 of each row's columns as texts, joined by a bar."""
+    return df.select(key, F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256).alias("checksum"))
+
+
 def write_raster(layer: RasterLayer, path: str) -> None:
     """Cells sorted by row and col inside files, so that windows skip row groups; a JSON sidecar."""
     layer.df.repartitionByRange("row").sortWithinPartitions("row", "col").write.parquet(f"{path}/cells")
@@ -68,23 +73,35 @@ def _read_files(spark: SparkSession, path: str, decode) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, path: str, sidecar: str, provenance: Provenance) -> RasterLayer:
-    """An archive's `values` array with its JSON sidecar (format, grid, crs, nodata, kind)."""
+    """An archive's `values` array with its JSON sidecar (format, grid, crs, nodata, kind, checksum).
+
+    Where the sidecar records a checksum, an archive that differs raises when its cells are read.
+    """
     meta = _text(spark, sidecar)
     if meta.get("format") != NPZ_TAG:
         raise IngestError("the sidecar names another format")
-    df = _read_files(spark, path, lambda b: np.load(io.BytesIO(b))["values"])
+    recorded = meta.get("checksum")
+
+    def values(content: bytes) -> np.ndarray:
+        if recorded is not None and hashlib.sha256(content).hexdigest() != recorded:
+            raise IngestError("the archive does not match its sidecar's checksum")
+        return np.load(io.BytesIO(content))["values"]
+
+    df = _read_files(spark, path, values)
     return RasterLayer(df.withColumn("value", normalised(F.col("value"), meta.get("nodata"))), Grid(**meta["grid"]), meta["crs"], meta.get("kind", "continuous"), meta.get("nodata"), provenance)
 
 
-def decode_tiff(content: bytes) -> tuple[np.ndarray, dict]:
-    """The first band of a classic TIFF in strips, plain or deflated, and its tags."""
+def _tiff_tags(content: bytes, whole: int) -> dict:
+    """The tags of a classic TIFF of so many bytes, from its head and, if that holds it, its directory."""
     order = {b"II": "<", b"MM": ">"}.get(content[:2])
     if order is None or struct.unpack(order + "H", content[2:4])[0] != 42:
         raise IngestError("not a classic TIFF")
     at, = struct.unpack(order + "I", content[4:8])
+    if not 8 <= at < whole:
+        raise IngestError("the TIFF's directory lies outside the file")
     count, = struct.unpack(order + "H", content[at : at + 2])
     size = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d", 11: "f", 8: "h", 9: "i"}
-    tags = {}
+    tags = {"order": order}
     for i in range(count):
         tag, kind, n = struct.unpack(order + "HHI", content[at + 2 + 12 * i : at + 10 + 12 * i])
         if kind not in size:
@@ -95,25 +112,61 @@ def decode_tiff(content: bytes) -> tuple[np.ndarray, dict]:
             start, = struct.unpack(order + "I", content[start : start + 4])
         raw = content[start : start + width]
         tags[tag] = raw.split(b"\0")[0].decode() if kind == 2 else struct.unpack(f"{order}{n}{size[kind]}", raw)
-    if 322 in tags or tags.get(277, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1 or tags.get(259, (1,))[0] not in (1, 8, 32946):
-        raise IngestError("tiled, predicted, compressed or many-band TIFF is not supported")
-    letter = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    strips = [content[a : a + n] for a, n in zip(tags[273], tags[279], strict=True)]
-    if tags.get(259, (1,))[0] != 1:
-        strips = [zlib.decompress(s) for s in strips]
-    values = np.frombuffer(b"".join(strips), f"{order}{letter}{tags[258][0] // 8}").reshape(tags[257][0], tags[256][0])
-    return values, tags
-
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    if one(277, 1) != 1 and one(284, 1) == 1:
+        raise IngestError("bands that alternate by cell are not supported; use planes")
+    if one(317, 1) not in (1, 2) or one(259, 1) not in (1, 8, 32946):
+        raise IngestError("this compression or predictor of TIFF is not supported")
+    return tags
+
+
+def decode_tiff(content: bytes, band: int = 1) -> tuple[np.ndarray, dict]:
+    """One band (from 1) of a classic TIFF in strips or tiles, plain or deflated, and its tags."""
+    tags = _tiff_tags(content, len(content))
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    rows, cols, bands = tags[257][0], tags[256][0], one(277, 1)
+    if not 1 <= band <= bands:
+        raise IngestError(f"band {band} of {bands}")
+    letter = {1: "u", 2: "i", 3: "f"}[one(339, 1)]
+    kind = np.dtype(f"{tags['order']}{letter}{tags[258][0] // 8}")
+    tiled = 322 in tags
+    high, wide = (tags[323][0], tags[322][0]) if tiled else (min(one(278, rows), rows), cols)
+    down, across = -(-rows // high), -(-cols // wide)
+    starts, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    values = np.empty((down * high, across * wide), kind)
+    for k in range(down * across):
+        i = (band - 1) * down * across + k
+        raw = content[starts[i] : starts[i] + sizes[i]]
+        raw = zlib.decompress(raw) if one(259, 1) != 1 else raw
+        block = np.frombuffer(raw, kind)
+        block = block.reshape(-1, wide)
+        if one(317, 1) == 2:
+            if letter == "f":
+                raise IngestError("a horizontal predictor needs whole numbers")
+            block = np.cumsum(block, axis=1, dtype=kind)
+        r, c = divmod(k, across)
+        values[r * high : r * high + len(block), c * wide : (c + 1) * wide] = block
+    return values[:rows, :cols], tags
+
+
+def read_geotiff(spark: SparkSession, path: str, provenance: Provenance, crs, kind: str = "continuous", nodata: float | None = None, band: int = 1) -> RasterLayer:
+    """A band of one north-up GeoTIFF; the declared nodata value must not differ from the caller's.
+
+    Only the tags reach the driver; a task that reads the file gives them, and another its cells.
+    More than one file under the path is refused, as each has a grid of its own.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if files.select("path").limit(2).count() != 1:
+        raise IngestError("a GeoTIFF is one file")
 
-def read_geotiff(spark: SparkSession, path: str, provenance: Provenance, crs, kind: str = "continuous", nodata: float | None = None) -> RasterLayer:
-    """One-band GeoTIFF, north-up; the declared nodata value must not differ from the caller's.
+    def head(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                tags = _tiff_tags(content.as_py(), len(content.as_py()))
+                keep = {str(t): list(tags[t]) if isinstance(tags[t], tuple) else tags[t] for t in (256, 257, 33550, 33922, 34264, 42113) if t in tags}
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(keep)])], ["tags"])
 
-    The header is read on the driver through Spark, the cells by one task for each file.
-    """
-    head = spark.read.format("binaryFile").load(path).select("content").first()
-    if head is None:
-        raise IngestError("no file")
-    values, tags = decode_tiff(head["content"])
+    tags = {int(k): v for k, v in json.loads(files.select("content").mapInArrow(head, "tags string").first()["tags"]).items()}
     if 34264 in tags or 33550 not in tags or 33922 not in tags:
         raise IngestError("a north-up grid is needed")
     declared = float(tags[42113]) if 42113 in tags else None
@@ -121,8 +174,8 @@ def read_geotiff(spark: SparkSession, path: str, provenance: Provenance, crs, ki
         raise IngestError("the file's nodata value is not the caller's")
     nodata = declared if nodata is None else nodata
     (dx, dy), tie = tags[33550][:2], tags[33922]
-    grid = Grid(tie[3] - tie[0] * dx, tie[4] + tie[1] * dy, dx, dy, *values.shape)
-    df = _read_files(spark, path, lambda b: decode_tiff(b)[0])
+    grid = Grid(tie[3] - tie[0] * dx, tie[4] + tie[1] * dy, dx, dy, tags[257][0], tags[256][0])
+    df = _read_files(spark, path, lambda b: decode_tiff(b, band)[0])
     return RasterLayer(df.withColumn("value", normalised(F.col("value"), nodata)), grid, crs, kind, nodata, provenance)
 
 
