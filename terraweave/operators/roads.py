@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,14 +66,13 @@ def _cut_at(lines: DataFrame, cuts: DataFrame) -> DataFrame:
 def crossings(lines: DataFrame, key: str = "edge_id", cell: float | None = None) -> DataFrame:
     """(a, b, x, y): points where segments of two lines meet, each pair of lines and point once.
 
-    Segments are put into the grid cells of their bounding boxes and joined on the cell, so the
-    theta join becomes an equi-join.
+    Segments are put into the grid cells that they pass and joined on the cell, so the theta join
+    becomes an equi-join; a long diagonal takes cells in proportion to its length, not to its box.
     """
     segs = lines.select(F.col(key).alias("line_id"), F.explode(G.segments(F.col("line"))).alias("s"))
     if cell is None:
         cell = segs.agg(F.avg(F.hypot(F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")))).first()[0] or 1.0
-    lo, hi = lambda c: F.floor(F.least(f"s.a.{c}", f"s.b.{c}") / cell), lambda c: F.floor(F.greatest(f"s.a.{c}", f"s.b.{c}") / cell)
-    boxed = segs.withColumn("cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("cy", F.explode(F.sequence(lo("y"), hi("y"))))
+    boxed = G.cells_passed(segs, "s", cell)
     a, b = boxed.select("cx", "cy", F.col("line_id").alias("a"), F.col("s").alias("sa")), boxed.select("cx", "cy", F.col("line_id").alias("b"), F.col("s").alias("sb"))
     p = G.crossing_point(F.col("sa.a"), F.col("sa.b"), F.col("sb.a"), F.col("sb.b"))
     met = a.join(b, ["cx", "cy"]).where(F.col("a") < F.col("b")).select("a", "b", p.alias("p")).where("p is not null")
@@ -122,11 +122,48 @@ def cluster_endpoints(points: DataFrame, tolerance: float) -> DataFrame:
     return points.join(heads, ["x", "y"]).select("pid", "x", "y", "node")
 
 
+def _hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points (n, 2)."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    halves = []
+    for order in (points, points[::-1]):
+        half: list = []
+        for p in order:
+            while len(half) > 1 and turn(half[-2], half[-1], p) <= 0:
+                half.pop()
+            half.append(p)
+        halves.append(half[:-1])
+    return np.array(halves[0] + halves[1])
+
+
 def cluster_spans(clustered: DataFrame) -> DataFrame:
-    """(node, n, span): the largest distance within each cluster, over its distinct places."""
-    places = clustered.select("node", "x", "y").distinct()
-    a, b = places.select("node", F.col("x").alias("ax"), F.col("y").alias("ay")), places
-    return a.join(b, "node").groupBy("node").agg(F.max(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))).alias("span"))
+    """(node, span): the largest distance within each cluster.
+
+    Two points farthest apart are corners of the convex hull. Each task keeps its points' hulls,
+    and one task for each cluster meets these corners only, not all pairs nor all points.
+    """
+    kind = clustered.schema["node"].dataType.simpleString()
+
+    def corners(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by("node")
+            nodes = table["node"].to_pylist()
+            xy = np.column_stack((table["x"].to_numpy(), table["y"].to_numpy()))
+            begin = [i for i in range(len(nodes)) if i == 0 or nodes[i] != nodes[i - 1]]
+            for a, b in zip(begin, [*begin[1:], len(nodes)], strict=True):
+                hull = _hull(xy[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[a]] * len(hull), batch.schema.field("node").type), pa.array(hull[:, 0]), pa.array(hull[:, 1])], ["node", "x", "y"])
+
+    def widest(table: pa.Table) -> pa.Table:
+        hull = _hull(np.column_stack((table["x"].to_numpy(), table["y"].to_numpy())))
+        span = max(float(np.hypot(*(hull - p).T).max()) for p in hull)
+        return pa.table({"node": table["node"].slice(0, 1).combine_chunks(), "span": pa.array([span])})
+
+    part = clustered.select("node", "x", "y").mapInArrow(corners, f"node {kind}, x double, y double")
+    return part.groupBy("node").applyInArrow(widest, f"node {kind}, span double")
 
 
 def build_graph(layer: VectorLayer, snap_tolerance: float = 1.0, node_shared: bool = True, node_crossings: bool = False) -> RoadGraph:
@@ -142,17 +179,27 @@ def build_graph(layer: VectorLayer, snap_tolerance: float = 1.0, node_shared: bo
     order = Window.partitionBy("feature_index").orderBy("part_id", "piece")
     lines = lines.withColumn("k", F.row_number().over(order) - 1)
     # An edge's number is its feature's and its place there, so no global order is needed.
-    lines = staged(lines.select((F.col("feature_index") * F.lit(1 << 20) + F.col("k")).alias("edge_id"), "feature_index", "line", "props"))
+    room = F.when(F.col("k") < 1 << 20, F.col("k")).otherwise(F.raise_error(F.lit("a feature has over 2**20 pieces")).cast("int"))
+    lines = staged(lines.select((F.col("feature_index") * F.lit(1 << 20) + room).alias("edge_id"), "feature_index", "line", "props"))
     if lines.isEmpty():
         raise GraphError("no usable line")
     end = lambda i, side: lines.select((F.col("edge_id") * 2 + side).alias("pid"), F.element_at("line", i)["x"].alias("x"), F.element_at("line", i)["y"].alias("y"))
     clustered = staged(cluster_endpoints(end(1, 0).unionByName(end(-1, 1)), snap_tolerance))
-    nodes = clustered.groupBy("node").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    nodes = centroids(clustered)
     at = lambda side, name: clustered.where(F.pmod("pid", F.lit(2)) == side).select(F.shiftright("pid", 1).alias("edge_id"), F.col("node").alias(name))
     edges = lines.join(at(0, "u"), "edge_id").join(at(1, "v"), "edge_id").select("edge_id", "u", "v", G.length(F.col("line")).alias("length_m"), "feature_index", "line", "props")
     return RoadGraph(staged(nodes), staged(edges), crs)
 
 
+def centroids(clustered: DataFrame) -> DataFrame:
+    """(node, x, y): the mean place of each cluster's points."""
+    return clustered.groupBy("node").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def self_loops(edges: DataFrame) -> DataFrame:
+    return edges.where("u = v")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) of every node; a component's id is its smallest node."""
     found = connected_components(edges.select("u", "v"))
@@ -328,6 +375,14 @@ def component_summary(nodes: DataFrame, edges: DataFrame, comps: DataFrame, mark
     return both.withColumn("is_isolated", (F.col("edge_count") == 1) & (F.col("exit_count") == 0)).withColumn("single_egress", (F.col("settlement_count") > 0) & (F.col("exit_count") == 1)).withColumn("no_egress", (F.col("settlement_count") > 0) & (F.col("exit_count") == 0))
 
 
+def largest_component(summary: DataFrame) -> DataFrame:
+    """The component with the most edges (ties: the smaller id) and its share of all edges."""
+    total = summary.agg(F.sum("edge_count").alias("t"))
+    best = summary.orderBy(F.desc("edge_count"), "component").limit(1)
+    # Two tables of one row each.
+    return best.join(F.broadcast(total)).select("component", "edge_count", F.round(F.col("edge_count") / F.col("t"), 4).alias("edge_fraction"))
+
+
 def assess(graph: RoadGraph, bounds: Bounds | None = None, places: DataFrame | None = None, snap: float = 250.0, exit_property: str | None = None) -> dict[str, DataFrame]:
     """The tables of a road network's assessment, each its own plan.
 
@@ -346,11 +401,41 @@ def assess(graph: RoadGraph, bounds: Bounds | None = None, places: DataFrame | N
         "components": component_summary(graph.nodes, graph.edges, comps, marks), "exits": exits, "settlements": found, "dead_ends": dead_ends(graph.edges, exits),
         "bridges": cuts.where("kind = 'bridge'").select("u", "v", "length_m", "cut_off"), "articulation": cuts.where("kind = 'articulation'").select(F.col("u").alias("node")),
         "degrees": degrees(graph.edges).groupBy("degree").agg(F.count("*").alias("nodes")), "parallel": parallel_edges(graph.edges), "duplicates": duplicate_geometry(graph.edges),
-        "self_loops": graph.edges.where("u = v"), "crossings": crossings_without_node(graph), "grade_separations": grade_separations(graph.edges), "attributes": present, "values": values,
+        "self_loops": self_loops(graph.edges), "crossings": crossings_without_node(graph), "grade_separations": grade_separations(graph.edges), "attributes": present, "values": values,
     }
     return out | ({} if bounds is None else {"density": network_density(graph.edges, bounds)})
 
 
+def report(graph: RoadGraph, tables: dict[str, DataFrame], snap: float = 250.0, ids: int = 20) -> dict:
+    """A road network's assessment as a small mapping for JSON: counts of everything, ids of some.
+
+    Only counts and at most ids identities of each kind reach the driver. They describe topology
+    as digitised: not that a road can be passed, a place reached, or anyone is trapped.
+    """
+    def listed(df: DataFrame, column: str) -> dict:
+        return {"count": df.count(), "ids": [r[0] for r in df.select(column).orderBy(column).limit(ids).collect()]}
+
+    comps = tables["components"]
+    sums = comps.where("edge_count > 0").agg(F.count("*").alias("n"), F.sum("edge_count").alias("edges"), F.sum("length_m").alias("length"), F.max("edge_count").alias("largest")).first()
+    exits = {r["source"]: r["count"] for r in tables["exits"].groupBy("source").count().collect()}
+    alone = comps.where("is_isolated or (edge_count = 1 and exit_count = 0)")
+    places = tables["settlements"]
+    return {
+        "graph": {"nodes": graph.nodes.count(), "edges": sums["edges"] or 0, "total_length_m": float(sums["length"] or 0.0), "length_unit": "m", "directed": False},
+        "connectivity": {
+            "component_count": sums["n"], "largest_edge_fraction": round(sums["largest"] / sums["edges"], 4) if sums["edges"] else None, "isolated_segments": listed(alone, "component"),
+            "dead_ends": listed(tables["dead_ends"], "node"), "bridges": tables["bridges"].count(), "articulation_points": tables["articulation"].count(), "self_loops": tables["self_loops"].count(),
+        },
+        "egress": {
+            "single_egress_candidates": listed(comps.where("single_egress"), "component"), "no_egress_components": listed(comps.where("no_egress"), "component"),
+            "exits": {"total": sum(exits.values()), "from_tags": exits.get("tagged", 0), "from_crossings": exits.get("crossing", 0), "from_boundary": exits.get("boundary", 0), "clip_boundary_warning": exits.get("boundary", 0) + exits.get("crossing", 0) > 0},
+            "critical_links": tables["bridges"].where(F.size("cut_off") > 0).count(),
+            "settlements": {"unmatched": listed(places.where("node is null"), "place_id"), "snap_distance_m": snap},
+        },
+        "crossings_without_node": {"count": tables["crossings"].count()},
+    }
+
+
 def dead_ends(edges: DataFrame, exits: DataFrame) -> DataFrame:
     return degrees(edges).where("degree = 1").join(exits.select("node"), "node", "left_anti").select("node")
 
@@ -390,7 +475,7 @@ def network_density(edges: DataFrame, b: Bounds) -> DataFrame:
 
     Boxes are closed: a line along a middle line counts in two quadrants.
     """
-    mx, my = b.center
+    mx, my = b.middle()
     boxes = [("all", b.x_min, b.y_min, b.x_max, b.y_max), ("sw", b.x_min, b.y_min, mx, my), ("se", mx, b.y_min, b.x_max, my), ("nw", b.x_min, my, mx, b.y_max), ("ne", mx, my, b.x_max, b.y_max)]
     sums = edges.agg(*[F.coalesce(F.sum(G.line_length_in_box(F.col("line"), *box[1:])), F.lit(0.0)).alias(box[0]) for box in boxes])
     one = F.array(*[F.struct(F.lit(n).alias("box"), F.round(F.col(n) / 1000, 6).alias("length_km"), F.round(F.col(n) / 1000 / ((x1 - x0) * (y1 - y0) / 1e6), 3).alias("km_per_km2")) for n, x0, y0, x1, y1 in boxes])
