@@ -5,19 +5,20 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__, fixtures
 from .errors import ConfigError, IngestError, OptionalDependencyError, StudyError
-from .model import Bounds, Provenance
+from .model import UNKNOWN, Bounds, Provenance, RasterLayer, VectorLayer
 from .operators import contract, records, study, validation
+from .plans.staging import staged
 from .session import get_session
-from .sources.bundle import read_bundle, write_bundle
-from .sources.raster import read_class_geotiff, read_raster, write_raster
-from .sources.vector import read_geojson
+from .sources.bundle import load_area, read_records, save_area, validate_directory, write_bundle
+from .sources.raster import read_any, read_class_geotiff, read_raster, write_raster
+from .sources.vector import read_geojson, write_geojson
 
 
 def _provenance(args) -> Provenance:
@@ -40,62 +41,120 @@ def read_config(path: str) -> dict:
     return config
 
 
+#: Keys of a configuration; each of SOURCES is a path, or a mapping with path and what is told of it.
+SOURCES = ("dem", "fuels", "roads", "facilities", "population")
+KEYS = {"id", "crs", "bounds", "snap_tolerance", "settlement_snap", "exit_property", "buffer_cells", "scheme", "absent", *SOURCES}
+SOURCE_KEYS = {"path", "data_class", "source", "licence", "licence_url", "publisher", "value_unit", "surface_model", "temporal_class", "temporal_reference", "valid_from", "valid_to", "crs", "options"}
+
+
+@dataclass(frozen=True)
+class SourceSpec:
+    """Where a layer comes from and what its record says; options are arguments of its record builder."""
+
+    path: str
+    record: Provenance
+    crs: str | None = None
+    options: dict | None = None
+
+    @staticmethod
+    def of(name: str, given, data_class: str) -> SourceSpec:
+        given = {"path": given} if isinstance(given, str) else dict(given)
+        if "path" not in given or set(given) - SOURCE_KEYS:
+            raise ConfigError(f"{name}: a path is needed, and no other keys than {sorted(SOURCE_KEYS)}")
+        source = {k: given[k] for k in ("licence", "licence_url", "publisher") if k in given} | ({"name": given["source"]} if "source" in given else {})
+        told = {k: given[k] for k in ("value_unit", "surface_model", "temporal_class", "temporal_reference", "valid_from", "valid_to") if k in given}
+        record = Provenance(name, given.get("data_class", data_class), sources=(source,) if source else (), **told)
+        return SourceSpec(given["path"], record, given.get("crs"), given.get("options"))
+
+    def raster(self, spark: SparkSession) -> RasterLayer:
+        """A raster of this package by its folder, or a file by its suffix; a folder's own record stays unless the specification tells more."""
+        if self.path.rsplit(".", 1)[-1].lower() in ("npz", "tif", "tiff"):
+            return read_any(spark, self.path, self.record, **({} if self.crs is None else {"crs": self.crs}), **(self.options or {}))
+        layer = read_raster(spark, self.path)
+        return layer if not self.record.sources else replace(layer, provenance=self.record)
+
+    def vector(self, spark: SparkSession) -> VectorLayer:
+        return read_geojson(spark, self.path, self.record, self.crs)
+
+
+@dataclass(frozen=True)
+class StudyAreaConfig:
+    """A checked configuration: what is missing, unknown or of another form raises before anything is read."""
+
+    id: str
+    crs: str
+    bounds: Bounds
+    sources: dict[str, SourceSpec]
+    scheme: records.ClassScheme | None = None
+    rest: dict | None = None
+
+    @staticmethod
+    def of(config: dict) -> StudyAreaConfig:
+        unknown = set(config) - KEYS
+        if unknown or not {"id", "crs", "bounds"} <= set(config):
+            raise ConfigError(f"unknown keys {sorted(unknown)}, or id, crs or bounds is missing")
+        if not isinstance(config["bounds"], (list, tuple)) or len(config["bounds"]) != 4:
+            raise ConfigError("bounds are four numbers")
+        scheme = config.get("scheme")
+        if isinstance(scheme, str):
+            if scheme not in records.SCHEMES:
+                raise ConfigError(f"unknown scheme {scheme!r}; known: {sorted(records.SCHEMES)}")
+            scheme = records.SCHEMES[scheme]
+        elif scheme is not None:
+            labels = {int(k): v for k, v in scheme.get("labels", {}).items()}
+            scheme = records.ClassScheme(scheme["name"], labels, scheme["nodata"], scheme.get("data_class", "observed"), scheme.get("source", UNKNOWN))
+        kind = "synthetic" if "synthetic" in config["id"].lower() else "observed"
+        sources = {k: SourceSpec.of(k, config[k], kind) for k in SOURCES if k in config}
+        rest = {k: config[k] for k in ("snap_tolerance", "settlement_snap", "exit_property", "buffer_cells", "absent") if k in config}
+        return StudyAreaConfig(config["id"], config["crs"], Bounds(*config["bounds"], config["crs"]), sources, scheme, rest)
+
+
 def build(spark: SparkSession, args) -> dict:
-    """A study area from a configuration: crs, bounds, and paths of dem, fuels and roads."""
-    config = read_config(args.config)
-    unknown = set(config) - {"id", "crs", "bounds", "dem", "fuels", "roads", "facilities", "population", "snap_tolerance"}
-    if unknown or not {"id", "crs", "bounds"} <= set(config):
-        raise ConfigError(f"unknown keys {sorted(unknown)}, or id, crs or bounds is missing")
-    rasters = {k: read_raster(spark, config[k]) for k in ("dem", "fuels") if k in config}
-    vectors = {n: read_geojson(spark, config[k], Provenance(k, "observed")) for k, n in (("roads", "road_lines"), ("facilities", "facilities"), ("population", "population")) if k in config}
-    if "population" in vectors:
-        records.require_private_free(vectors["population"].df, "population")
-    area = study.build(config["crs"], Bounds(*config["bounds"], config["crs"]), **rasters, **vectors, snap_tolerance=config.get("snap_tolerance", 1.0))
-    return write_bundle(spark, args.out, config["id"], {k: (df, Provenance(k, "synthetic" if "synthetic" in config["id"] else "observed")) for k, df in area.layers().items()}, args.overwrite)
-
-
-def facts(records_: dict[str, Provenance], spark: SparkSession):
-    """Provenance facts of a bundle's layers, as the layer checks read them."""
-    rows = [
-        (name, p.output_crs, p.data_class, len(p.sources), len(p.parents), p.temporal_class, p.temporal_reference, p.checksum, p.surface_model, p.valid_from, p.valid_to, len({"output_crs", "value_unit", "nodata_representation"} & set(p.unknown_fields())), len(set(p.unknown_fields()) - {"output_crs", "value_unit", "nodata_representation"}))
-        for name, p in records_.items()
-    ]
-    names = "layer string, crs string, data_class string, n_sources int, n_parents int, temporal_class string, temporal_reference string, checksum string, surface_model string, valid_from string, valid_to string, n_unknown_blocking int, n_unknown_other int"
-    df = spark.createDataFrame(rows, names)
-    absent = {"data_kind": "string", "geographic": "boolean", "axis_unit": "string", "northing_first": "boolean", "ref_crs": "string", "nodata_declared": "boolean", "integer_cells": "boolean"}
-    absent |= dict.fromkeys(("total_count", "valid_count", "n_features", "n_geometry_types", "n_invalid"), "bigint") | {f"{r}{a}_{k}": "double" for r in ("", "ref_") for a in "xy" for k in ("size", "origin")}
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
+    """A study area from a configuration, written with its contract."""
+    config = StudyAreaConfig.of(read_config(args.config))
+    given = config.sources
+    rasters = {k: given[k].raster(spark) for k in ("dem", "fuels") if k in given}
+    vectors = {n: given[k].vector(spark) for k, n in (("roads", "road_lines"), ("facilities", "facilities"), ("population", "population")) if k in given}
+    options = {}
+    if "population" in given:
+        told = dict(given["population"].options or {})
+        told["strata"] = tuple(tuple(s) for s in told.get("strata", ()))
+        options["settlement_options"] = told
+    if "facilities" in given and given["facilities"].options:
+        options["facility_options"] = given["facilities"].options
+    area = study.build(config.crs, config.bounds, id=config.id, scheme=config.scheme, **rasters, **vectors, **options, **config.rest)
+    return save_area(spark, args.out, area, args.overwrite)
 
 
 def validate(spark: SparkSession, args) -> dict:
-    manifest, layers = read_bundle(spark, args.path)
-    found = validation.findings(facts({k: p for k, (_, p) in layers.items()}, spark), "layer", "layer")
+    found = staged(validate_directory(spark, args.path))
     verdict = validation.status(found, args.strict).first().asDict()
-    return verdict | {"bundle_id": manifest["bundle_id"], "findings": [r.asDict() for r in validation.report(found).toLocalIterator()]}
+    return verdict | {"target": args.path, "findings": [r.asDict() for r in validation.report(found).toLocalIterator()]}
 
 
 def summarise(spark: SparkSession, args) -> dict:
-    manifest, layers = read_bundle(spark, args.path)
-    return {"bundle_id": manifest["bundle_id"], "layers": {k: {"rows": df.count(), "unknown_fields": len(p.unknown_fields())} for k, (df, p) in layers.items()}}
+    return study.describe(load_area(spark, args.path))
 
 
 def provenance(spark: SparkSession, args) -> dict:
-    return {k: p.to_dict() for k, (_, p) in read_bundle(spark, args.path)[1].items()}
+    return {k: p.to_dict() for k, p in read_records(spark, args.path).items()}
 
 
 def compatibility(spark: SparkSession, args) -> dict:
-    manifest, layers = read_bundle(spark, args.path)
-    held = {"dem": "terrain", "road_edges": "roads"}
-    slots = [(manifest["bundle_id"], held.get(k, k), True, ["NO_SOURCE_RECORDED"] if not p.sources else []) for k, (_, p) in layers.items() if held.get(k, k) in contract.SLOTS]
-    grids = spark.createDataFrame([(manifest["bundle_id"], "SHARED" if "dem" in layers else "NO_RASTERS")], "bundle string, grid_status string")
-    out = contract.compatibility(spark.createDataFrame(slots, "bundle string, slot string, usable boolean, tags array<string>"), grids, "bundle")
-    return {r["profile"]: {"status": r["status"], "missing": r["missing"]} for r in out.collect()}
+    return contract.build(spark, load_area(spark, args.path))["compatibility"]
 
 
 def make_fixtures(spark: SparkSession, args) -> dict:
-    for name in args.names or sorted(fixtures.FIXTURES):
-        write_raster(fixtures.make_fixture(spark, name), f"{args.out}/{name}")
-    return {"written": args.names or sorted(fixtures.FIXTURES)}
+    names = args.names or sorted(fixtures.RASTERS | fixtures.VECTORS)
+    for name in names:
+        layer = fixtures.make_fixture(spark, name)
+        if isinstance(layer, RasterLayer):
+            write_raster(layer, f"{args.out}/{name}")
+        elif isinstance(layer, VectorLayer):
+            write_geojson(layer, f"{args.out}/{name}.geojson")
+        else:
+            raise ConfigError(f"{name} is no single layer")
+    return {"written": names}
 
 
 def checked(spark: SparkSession, args) -> Provenance:

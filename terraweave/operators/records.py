@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import IngestError, PrivacyError
@@ -69,11 +69,18 @@ def stratum_label(lower: Column, upper: Column) -> Column:
     return F.when(upper.isNull(), F.concat(lower.cast("string"), F.lit("+"))).otherwise(F.concat_ws("-", lower.cast("string"), (upper - 1).cast("string")))
 
 
-def overlapping_strata(strata: DataFrame) -> DataFrame:
-    """Pairs of bands (lower, upper) that share an age."""
-    a, b = strata.select(F.col("lower").alias("l1"), F.col("upper").alias("u1")), strata.select(F.col("lower").alias("l2"), F.col("upper").alias("u2"))
-    end = lambda c: F.coalesce(F.col(c), F.lit(1000))
-    return a.join(b, (F.col("l1") < F.col("l2")) & (F.col("l2") < end("u1")))
+def overlapping_strata(strata: DataFrame, by: str | None = None) -> DataFrame:
+    """Bands that share an age with an earlier one of the same settlement (by), and that one's bounds.
+
+    In order of lower bounds, a band overlaps if it begins before the furthest end so far; the
+    earlier band given is the one that reaches there. A band without upper bound has no end.
+    """
+    own = [by] if by else []
+    end = F.coalesce("upper", F.lit(2**31 - 1))
+    order = Window.partitionBy(*own).orderBy("lower", end)
+    reach = F.max(F.struct(end.alias("end"), F.col("lower"), F.col("upper"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = strata.withColumn("before", reach).where(F.col("lower") < F.col("before.end"))
+    return found.select(*own, F.col("before.lower").alias("l1"), F.col("before.upper").alias("u1"), F.col("lower").alias("l2"), F.col("upper").alias("u2"))
 
 
 def strata_total(strata: Column) -> Column:
@@ -102,6 +109,17 @@ def facilities(df: DataFrame, kind_column: str, kind_map: dict[str, str], unmapp
     return out.withColumn("kind", F.coalesce("kind", F.lit("other")))
 
 
+def population_summary(settlements: DataFrame, strata: Column | None = None, total: str = "population_total") -> DataFrame:
+    """One row: the known totals' sum, settlements without one, and those whose bands don't add up to it."""
+    matches = strata_match(F.col("strata") if strata is None else strata, F.col(total))
+    return settlements.agg(F.sum(total).alias("total"), F.count_if(F.col(total).isNull()).alias("n_missing"), F.count_if(~F.coalesce(matches, F.lit(True))).alias("n_mismatch"))
+
+
+def facilities_summary(rows: DataFrame, capacity: str = "capacity_persons", assessed: str | None = None) -> DataFrame:
+    """Facilities of each role, how many state a capacity, and how many are assessed."""
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count(capacity).alias("with_capacity"), F.count_if(F.col(assessed) if assessed else F.lit(False)).alias("assessed"))
+
+
 def _prop(key: str) -> Column:
     return F.try_element_at("props", F.lit(key))
 

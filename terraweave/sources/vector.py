@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IngestError, UnknownCRSError
-from ..functions.crs import crs_equal, parse_crs
+from ..functions.crs import crs_equal, crs_text, parse_crs
 from ..functions.geometry import POINT, interior_point, middle_vertex
 from ..model import Provenance, VectorLayer
 from ..operators.roads import HIGHWAY_VALUES
+from .files import write_stream
 
 # The key=value pairs that mark a facility, in order of precedence.
 FACILITY_TAGS = tuple(
@@ -64,7 +67,11 @@ def read_geojson(spark: SparkSession, path: str, provenance: Provenance, crs=Non
 
 
 def write_geojson(layer: VectorLayer, path: str) -> None:
-    """One feature to a line, in the layer's own system, which must be declared."""
+    """One FeatureCollection file in the layer's own system, which it names and which must be declared.
+
+    Features are written as they arrive, one partition after the other, in order of
+    feature_index, so the driver never holds them all.
+    """
     if layer.crs is None:
         raise UnknownCRSError("no coordinate system is declared")
     flat = lambda part: F.transform(part, lambda p: F.array(p["x"], p["y"]))
@@ -72,17 +79,36 @@ def write_geojson(layer: VectorLayer, path: str) -> None:
     text = lambda c: F.to_json(c)
     coordinates = (
         F.when(t == "Point", text(flat(F.col("geom.parts")[0])[0]))
-        .when(t == "LineString", text(flat(F.col("geom.parts")[0])))
+        .when(t.isin("LineString", "MultiPoint"), text(flat(F.col("geom.parts")[0])))
+        .when(t == "MultiPolygon", text(F.transform("geom.parts", lambda ring: F.array(flat(ring)))))
         .otherwise(text(F.transform("geom.parts", flat)))
     )
-    line = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), t, F.lit('","coordinates":'), coordinates, F.lit('},"properties":'), F.to_json("props"), F.lit("}"))
-    layer.df.select(line.alias("value")).write.text(path)
+    line = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), t, F.lit('","coordinates":'), coordinates, F.lit('},"properties":'), F.coalesce(F.to_json("props"), F.lit("{}")), F.lit("}"))
+    rows = layer.df.select("feature_index", line.alias("value")).orderBy("feature_index").select("value")
+    name = json.dumps({"type": "name", "properties": {"name": crs_text(layer.crs)}})
+
+    def lines():
+        yield '{"type":"FeatureCollection","crs":' + name + ',"features":[\n'
+        for i, r in enumerate(rows.toLocalIterator()):
+            yield (",\n" if i else "") + r["value"]
+        yield "\n]}\n"
+
+    write_stream(layer.df.sparkSession, path, lines())
 
 
 def _elements(spark: SparkSession, path: str, kind: str, columns: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", kind).schema(f"_id long, {columns}, {_TAGS}").load(path)
 
 
+def join_ways(refs: DataFrame, nodes: DataFrame, *, keep: list[str]) -> DataFrame:
+    """way, n (references), found (with a node) and ps, the kept node columns in order, for each way.
+
+    refs hold way, i and ref, nodes hold ref; a way is whole where n = found and n >= 2.
+    """
+    met = refs.join(nodes.select("ref", F.struct(*keep).alias("p")), "ref", "left")
+    return met.groupBy("way").agg(F.count("*").alias("n"), F.count("p").alias("found"), F.array_sort(F.collect_list(F.struct("i", "p"))).alias("ps"))
+
+
 def _tag_map() -> Column:
     none = F.array().cast("array<struct<_k:string,_v:string>>")
     return F.map_from_entries(F.transform(F.coalesce("tag", none), lambda t: F.struct(t["_k"], t["_v"])))
@@ -94,11 +120,11 @@ def read_osm_roads(spark: SparkSession, path: str, provenance: Provenance, highw
     A way with an absent node or under two points is dropped and counted; no attribute is ever
     filled in; an empty result raises.
     """
-    nodes = _elements(spark, path, "node", "_lat double, _lon double").select(F.col("_id").alias("ref"), F.struct(F.col("_lon").alias("x"), F.col("_lat").alias("y")).alias("p"))
+    nodes = _elements(spark, path, "node", "_lat double, _lon double").select(F.col("_id").alias("ref"), F.col("_lon").alias("x"), F.col("_lat").alias("y"))
     ways = _elements(spark, path, "way", "nd array<struct<_ref:long>>").select("_id", "nd", _tag_map().alias("props"))
     ways = ways.where(F.try_element_at("props", F.lit("highway")).isin(*highway_values))
-    refs = ways.select("_id", F.posexplode("nd").alias("i", "n")).select("_id", "i", F.col("n._ref").alias("ref")).join(nodes, "ref", "left")
-    lines = refs.groupBy("_id").agg(F.count("*").alias("n"), F.count("p").alias("found"), F.array_sort(F.collect_list(F.struct("i", "p"))).alias("ps"))
+    refs = ways.select(F.col("_id").alias("way"), F.posexplode("nd").alias("i", "n")).select("way", "i", F.col("n._ref").alias("ref"))
+    lines = join_ways(refs, nodes, keep=["x", "y"]).withColumnRenamed("way", "_id")
     joined = ways.select("_id", "props").join(lines, "_id", "left")
     good = (F.col("n") == F.col("found")) & (F.col("n") >= 2)
     geom = F.struct(F.lit("LineString").alias("type"), F.array(F.transform("ps", lambda q: q["p"])).alias("parts"))
