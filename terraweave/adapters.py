@@ -39,7 +39,7 @@ CAST(CASE WHEN d.doc_id % 13 = 0 THEN 1 ELSE 0 END AS INT) AS n_unknown_blocking
 CASE WHEN d.doc_id % 6 = 0 THEN 'derived' WHEN d.doc_id % 6 = 1 THEN 'synthetic' ELSE 'observed' END AS data_class, CAST(d.doc_id % 2 AS INT) AS n_parents,
 CASE WHEN d.doc_id % 9 = 0 THEN 'retrospective' ELSE 'static' END AS temporal_class, CASE WHEN d.doc_id % 18 = 0 THEN 'UNKNOWN' ELSE '2023' END AS temporal_reference,
 CASE WHEN l.doc_id IS NULL THEN 'UNKNOWN' ELSE 'known' END AS checksum, CASE WHEN d.doc_id % 10 = 0 THEN 'dsm' ELSE 'dtm' END AS surface_model, CASE WHEN d.doc_id % 21 = 0 THEN 'UNKNOWN' ELSE '2021' END AS valid_from, '2024' AS valid_to,
-CASE WHEN d.doc_id % 8 = 0 THEN 'UNKNOWN' ELSE 'CC-BY 4.0' END AS licence, CASE WHEN d.doc_id % 14 = 2 THEN 'not_applicable' ELSE 'none' END AS nodata_text, d.doc_id % 15 = 0 AS own_grid,
+CASE d.doc_id % 8 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'Data under ODbL 1.0' WHEN 2 THEN 'open, ATTRIBUTION required' ELSE 'CC-BY 4.0' END AS licence, CASE WHEN d.doc_id % 14 = 2 THEN 'not_applicable' ELSE 'none' END AS nodata_text, d.doc_id % 15 = 0 AS own_grid,
 CAST(d.doc_id % 12 AS INT) AS n_features, CAST(1 + d.doc_id % 2 AS INT) AS n_geometry_types, CAST(CASE WHEN d.doc_id % 27 = 3 THEN 2 ELSE 0 END AS INT) AS n_invalid FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"""
 BUNDLES = """SELECT concat(CASE WHEN o_orderkey % 3 = 0 THEN 'synthetic_' ELSE 'area_' END, CAST(o_orderkey AS VARCHAR)) AS bundle_id, CAST(o_orderkey % 6 AS INT) AS n_layers, o_orderkey % 4 <> 1 AS terrain_covers,
 CAST(o_orderkey % 50 AS INT) AS slope_missing, CAST(o_orderkey % 7 AS INT) AS dem_missing, o_orderkey % 2 = 0 AS has_fuels, o_orderkey % 8 <> 0 AS fuels_categorical, o_orderkey % 10 <> 0 AS fuels_scheme, CAST(o_orderkey % 5 AS INT) AS n_synthetic,

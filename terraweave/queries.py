@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,10 @@ from .functions import geometry as G
 from .functions import text as T
 from .functions import units as U
 from .model import CLASS_PRECEDENCE, Bounds, Grid, Provenance, VectorLayer
-from .operators import contract, raster, records, roads, validation, vector
+from .operators import contract, facts, raster, records, roads, validation, vector
+from .plans.staging import checkpoint_dir
+from .sources import raster as raster_files
+from .sources.vector import join_ways, read_geojson, write_geojson
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,7 +60,7 @@ def slope_statistics(spark, sf):
 
 @query(f"WITH {HORN} SELECT row, col, round(dz_dx, 6) AS dz_dx, round(dz_dy, 6) AS dz_dy FROM g")
 def horn_gradients(spark, sf):
-    return rounded(raster.horn(A.dem(spark, sf).df, 30.0, 30.0))
+    return rounded(raster.horn(A.dem(spark, sf).df, 30.0, 30.0).drop("value"))
 
 
 @query(f"WITH {HORN} SELECT row, col, round(CAST(CAST({_ASPECT} AS FLOAT) AS DOUBLE), 2) AS aspect FROM g")
@@ -83,7 +87,7 @@ def categorical_statistics(spark, sf):
 @query(f"WITH {HORN}, s AS (SELECT CAST(CAST({_SLOPE} AS FLOAT) AS DOUBLE) AS v, {_ASPECT} AS a FROM g), d AS (SELECT min(value) AS z_min, max(value) AS z_max, max(value) - min(value) AS relief, count(value) * 900.0 AS valid_area_m2 FROM dem), q AS (SELECT avg(v) AS slope_mean, max(v) AS slope_max, sum(sin(radians(a))) AS s, sum(cos(radians(a))) AS c, count(a) AS n FROM s) SELECT round(z_min, 3) AS z_min, round(z_max, 3) AS z_max, round(relief, 3) AS relief, round(valid_area_m2, 3) AS valid_area_m2, round(slope_mean, 3) AS slope_mean, round(slope_max, 3) AS slope_max, round(CASE WHEN degrees(atan2(s, c)) < 0 THEN degrees(atan2(s, c)) + 360.0 ELSE degrees(atan2(s, c)) END, 2) AS mean_deg, round(sqrt(s * s + c * c) / n, 3) AS resultant FROM d, q")
 def terrain_statistics(spark, sf):
     d = A.dem(spark, sf)
-    t = rounded(raster.terrain_statistics(d, raster.slope(d), raster.aspect(d)), 3)
+    t = rounded(raster.terrain_statistics(d), 3)
     return t.withColumn("mean_deg", F.round("mean_deg", 2))
 
 
@@ -94,16 +98,21 @@ def clip_raster(spark, sf):
     return raster.clip(d, Bounds(301.0, 61.0, 599.0, h - 61.0, A.CRS), buffer_cells=1).df
 
 
-@query(f"WITH t AS ({A.DEM}), n AS (SELECT max(row) + 1 AS r FROM t), o AS (SELECT CAST(a.i AS INT) AS trow, CAST(b.i AS INT) AS tcol FROM range(12) a(i), range(10) b(i)) SELECT trow AS row, tcol AS col, value FROM o LEFT JOIN t ON t.row = floor(((trow + 0.5) * 75.0 + 10.0) / 30.0) AND t.col = floor(((tcol + 0.5) * 75.0 + 20.0) / 30.0)")
+def _target(d) -> Grid:
+    """A coarser, shifted grid over the whole raster."""
+    return Grid(20.0, d.grid.y_origin - 10.0, 75.0, 75.0, -(-d.grid.rows * 30 // 75), 16)
+
+
+@query(f"WITH t AS ({A.DEM}), n AS (SELECT max(row) + 1 AS r FROM t), o AS (SELECT CAST(a.i AS INT) AS trow, CAST(b.i AS INT) AS tcol FROM (SELECT unnest(range(CAST(ceil(r * 30 / 75.0) AS BIGINT))) AS i FROM n) a, range(16) b(i)) SELECT trow AS row, tcol AS col, value FROM o LEFT JOIN t ON t.row = floor(((trow + 0.5) * 75.0 + 10.0) / 30.0) AND t.col = floor(((tcol + 0.5) * 75.0 + 20.0) / 30.0)")
 def warp_nearest(spark, sf):
     d = A.dem(spark, sf)
-    return raster.warp(d, A.CRS, Grid(20.0, d.grid.y_origin - 10.0, 75.0, 75.0, 12, 10), "nearest").df
+    return raster.resample(d, _target(d), "nearest").df
 
 
-@query(f"WITH t AS ({A.DEM}), o AS (SELECT CAST(a.i AS INT) AS trow, CAST(b.i AS INT) AS tcol, ((a.i + 0.5) * 75.0 + 10.0) / 30.0 - 0.5 AS r, ((b.i + 0.5) * 75.0 + 20.0) / 30.0 - 0.5 AS c FROM range(12) a(i), range(10) b(i)), k AS (SELECT trow, tcol, floor(r) + i.i AS rr, floor(c) + j.i AS cc, (1 - abs(r - floor(r) - i.i)) * (1 - abs(c - floor(c) - j.i)) AS w FROM o, range(2) i(i), range(2) j(i)) SELECT trow AS row, tcol AS col, round(sum(w * value) / sum(CASE WHEN value IS NOT NULL THEN w END), 6) AS value FROM k LEFT JOIN t ON t.row = rr AND t.col = cc GROUP BY trow, tcol")
+@query(f"WITH t AS ({A.DEM}), n AS (SELECT max(row) + 1 AS r FROM t), o AS (SELECT CAST(a.i AS INT) AS trow, CAST(b.i AS INT) AS tcol, ((a.i + 0.5) * 75.0 + 10.0) / 30.0 - 0.5 AS r, ((b.i + 0.5) * 75.0 + 20.0) / 30.0 - 0.5 AS c FROM (SELECT unnest(range(CAST(ceil(r * 30 / 75.0) AS BIGINT))) AS i FROM n) a, range(16) b(i)), k AS (SELECT trow, tcol, floor(r) + i.i AS rr, floor(c) + j.i AS cc, (1 - abs(r - floor(r) - i.i)) * (1 - abs(c - floor(c) - j.i)) AS w FROM o, range(2) i(i), range(2) j(i)) SELECT trow AS row, tcol AS col, round(sum(w * value) / sum(CASE WHEN value IS NOT NULL THEN w END), 6) AS value FROM k LEFT JOIN t ON t.row = rr AND t.col = cc GROUP BY trow, tcol")
 def warp_bilinear(spark, sf):
     d = A.dem(spark, sf)
-    return rounded(raster.warp(d, A.CRS, Grid(20.0, d.grid.y_origin - 10.0, 75.0, 75.0, 12, 10), "bilinear").df)
+    return rounded(raster.resample(d, _target(d), "bilinear").df)
 
 
 @query("SELECT p_partkey AS id, (p_partkey % 40 + 0.5) * 30.0 AS x, 1000.0 - (floor(p_partkey / 40) + 0.5) * 30.0 AS y, CAST(floor((1000.0 - p_retailprice) / 30.0) AS BIGINT) AS row_of, CAST(floor(p_size / 30.0) AS BIGINT) AS col_of FROM part")
@@ -122,8 +131,7 @@ def bounds_contains(spark, sf):
 
 @query(f"WITH t AS ({A.DEM}), z AS (SELECT row, col, value, CASE WHEN value > 1000 THEN 'high' ELSE 'low' END AS band FROM t) SELECT band, count(*) AS n_cells, count(value) AS n_valid, count(*) - count(value) AS n_missing FROM z GROUP BY band")
 def missing_cells(spark, sf):
-    t = A.rows(spark, sf, A.DEM).withColumn("band", F.when(F.col("value") > 1000, "high").otherwise("low"))
-    return t.groupBy("band").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_valid"), (F.count("*") - F.count("value")).alias("n_missing"))
+    return raster.cell_counts(A.rows(spark, sf, A.DEM).withColumn("band", F.when(F.col("value") > 1000, "high").otherwise("low")), "band")
 
 
 # ---- units, text, coordinates
@@ -179,10 +187,10 @@ def temporal_precision(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"), T.temporal_kind(w).alias("kind"))
 
 
-_FIELDS = ["Patient ID", "population_total", "household-id", "full name", "phone", "care grade", "medication", "icd 10", "name", "e-mail"]
+_FIELDS = ["Patient ID", "population_total", "household-id", "full name", "phone", "care grade", "medication", "icd 10", "(rrn)", "e-mail"]
 
 
-@query("WITH s AS (SELECT c_custkey AS id, list_extract(['" + "','".join(_FIELDS) + "'], CAST(c_custkey % 10 + 1 AS INT)) AS name FROM customer) SELECT id, name, CAST(CASE name WHEN 'Patient ID' THEN 5 WHEN 'household-id' THEN 19 WHEN 'full name' THEN 6 WHEN 'phone' THEN 18 WHEN 'care grade' THEN 13 WHEN 'medication' THEN 10 WHEN 'icd 10' THEN 9 END AS INT) AS pattern FROM s WHERE name NOT IN ('population_total', 'name', 'e-mail')")
+@query("WITH s AS (SELECT c_custkey AS id, list_extract(['" + "','".join(_FIELDS) + "'], CAST(c_custkey % 10 + 1 AS INT)) AS name FROM customer) SELECT id, name, CAST(CASE name WHEN 'Patient ID' THEN 5 WHEN 'household-id' THEN 19 WHEN 'full name' THEN 6 WHEN 'phone' THEN 18 WHEN 'care grade' THEN 13 WHEN 'medication' THEN 10 WHEN 'icd 10' THEN 9 END AS INT) AS pattern FROM s WHERE name NOT IN ('population_total', '(rrn)', 'e-mail')")
 def privacy_guard(spark, sf):
     w = F.array(*map(F.lit, _FIELDS))[(F.col("c_custkey") % 10).cast("int")]
     names = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"), w.alias("name"))
@@ -247,14 +255,68 @@ def clip_truncate(spark, sf):
     return cut.select("feature_index", F.round(length, 6).alias("length_m")).where("length_m > 0")
 
 
-@query(f"WITH {_EDGE_XY}, p AS (SELECT edge_id % 6 + 1 AS code, edge_id AS k, u FROM e WHERE edge_id % 4 = 0), b AS (SELECT k, code, n.x + 10 AS x0, n.y + 10 AS y0 FROM p JOIN nodes n ON n.node = p.u), g AS (SELECT CAST(r.i AS INT) AS row, CAST(c.i AS INT) AS col, (c.i + 0.5) * 25.0 AS x, 1000.0 - (r.i + 0.5) * 25.0 AS y FROM range(40) r(i), range(40) c(i)), m AS (SELECT row, col, arg_max(code, k) AS code FROM g JOIN b ON x > x0 AND x < x0 + 130 AND y > y0 AND y < y0 + 70 GROUP BY row, col) SELECT g.row, g.col, CAST(coalesce(code, 255) AS BIGINT) AS value FROM g LEFT JOIN m ON m.row = g.row AND m.col = g.col")
+@query(f"WITH {_EDGE_XY}, p AS (SELECT edge_id % 6 + 1 AS code, edge_id AS k, u FROM e WHERE edge_id % 4 = 0), b AS (SELECT k, code, n.x + 10 AS x0, n.y + 10 AS y0 FROM p JOIN nodes n ON n.node = p.u), g AS (SELECT CAST(r.i AS INT) AS row, CAST(c.i AS INT) AS col, (c.i + 0.5) * 25.0 AS x, (SELECT max(y) + 100 FROM nodes) - (r.i + 0.5) * 25.0 AS y FROM (SELECT unnest(range(CAST((SELECT max(y) + 100 FROM nodes) / 25 AS BIGINT))) AS i) r, range(40) c(i)), m AS (SELECT row, col, arg_max(code, k) AS code FROM g JOIN b ON x > x0 AND x < x0 + 130 AND y > y0 AND y < y0 + 70 GROUP BY row, col) SELECT g.row, g.col, CAST(coalesce(code, 255) AS BIGINT) AS value FROM g LEFT JOIN m ON m.row = g.row AND m.col = g.col")
 def rasterise_polygons(spark, sf):
     g = A.graph(spark, sf)
     p = g.edges.where("edge_id % 4 = 0").join(g.nodes.select(F.col("node").alias("u"), F.col("x").alias("x0"), F.col("y").alias("y0")), "u")
     corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     ring = F.array(corner(10.0, 10.0), corner(140.0, 10.0), corner(140.0, 80.0), corner(10.0, 80.0), corner(10.0, 10.0))
     p = p.select(F.col("edge_id").alias("feature_index"), (F.col("edge_id") % 6 + 1).alias("code"), ring.alias("ring"))
-    return vector.rasterise(p, Grid(0.0, 1000.0, 25.0, 25.0, 40, 40), 255).select("row", "col", F.col("value").cast("long").alias("value"))
+    top = g.nodes.agg(F.max("y")).first()[0] + 100.0
+    return vector.rasterise(p, Grid(0.0, top, 25.0, 25.0, int(top / 25), 40), 255).select("row", "col", F.col("value").cast("long").alias("value"))
+
+
+#: Five kinds of features by the box: a closed road inside, one that leaves and comes back, one that only touches, a polygon around the box, one over its corner.
+_CASES = "SELECT c_custkey AS k, c_custkey % 5 AS kind, CAST(c_custkey % 50 AS DOUBLE) AS d FROM customer"
+
+
+@query(f"WITH c AS ({_CASES}) SELECT k AS feature_index, CASE kind WHEN 0 THEN 'LineString' WHEN 1 THEN 'MultiLineString' WHEN 2 THEN 'Point' ELSE 'Polygon' END AS type, CAST(CASE kind WHEN 1 THEN 2 ELSE 1 END AS INT) AS n_parts, CAST(CASE kind WHEN 0 THEN 16.0 WHEN 1 THEN 100.0 ELSE 0.0 END AS DOUBLE) AS length_m, CAST(CASE kind WHEN 3 THEN 140000.0 WHEN 4 THEN (10 + d) * 20 ELSE 0.0 END AS DOUBLE) AS area_m2 FROM c")
+def clip_cases(spark, sf):
+    """What cutting leaves of each, by closed forms in the SQL."""
+    p = lambda x, y: F.struct((F.lit(0.0) + x).alias("x"), (F.lit(0.0) + y).alias("y"))
+    d = F.col("d")
+    box = lambda x0, y0, x1, y1: F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0))
+    shape = (
+        F.when(F.col("kind") == 0, box(200 + d, 200, 204 + d, 204))
+        .when(F.col("kind") == 1, F.array(p(500, 200 + d), p(600, 200 + d), p(600, 210 + d), p(500, 210 + d)))
+        .when(F.col("kind") == 2, F.array(p(550, 150 + d), p(650, 160 + d)))
+        .when(F.col("kind") == 3, box(-d, -d, 1000 + d, 1000))
+        .otherwise(box(540 - d, 430, 640 - d, 530))
+    )
+    geom = F.struct(F.when(F.col("kind") < 3, "LineString").otherwise("Polygon").alias("type"), F.array(shape).alias("parts"))
+    none = F.create_map().cast("map<string,string>")
+    layer = VectorLayer(A.rows(spark, sf, _CASES).select(F.col("k").alias("feature_index"), geom.alias("geom"), none.alias("props")), A.CRS, Provenance("cases", "observed"))
+    cut = vector.clip_features(layer, _BOX, "truncate").df
+    line = F.col("geom.type").isin("LineString", "MultiLineString")
+    length = F.aggregate("geom.parts", F.lit(0.0), lambda t, part: t + G.length(part))
+    area = F.aggregate("geom.parts", F.lit(0.0), lambda t, part: t + G.ring_area(part))
+    return cut.select("feature_index", F.col("geom.type").alias("type"), F.size("geom.parts").alias("n_parts"), F.when(line, F.round(length, 6)).otherwise(0.0).alias("length_m"), F.when(F.col("geom.type") == "Polygon", F.round(area, 6)).otherwise(0.0).alias("area_m2"))
+
+
+@query(f"WITH {_EDGE_XY} SELECT edge_id AS feature_index, x1, y1, x2, y2, CASE WHEN edge_id % 3 = 0 THEN 'track' ELSE 'service' END AS highway FROM e")
+def geojson_round_trip(spark, sf):
+    """The lattice written as one FeatureCollection and read again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/terraweave-{uuid.uuid4().hex}.geojson"
+    layer = A.lines(spark, sf)
+    # Features are numbered by their place in the file, so their own number goes along as a property.
+    numbered = layer.df.withColumn("props", F.map_concat("props", F.create_map(F.lit("number"), F.col("feature_index").cast("string"))))
+    write_geojson(VectorLayer(numbered, layer.crs, layer.provenance), path)
+    back = read_geojson(spark, path, layer.provenance)
+    at = lambda i, c: F.col("geom.parts")[0][i][c]
+    prop = lambda k: F.try_element_at("props", F.lit(k))
+    return back.df.select(prop("number").cast("long").alias("feature_index"), at(0, "x").alias("x1"), at(0, "y").alias("y1"), at(1, "x").alias("x2"), at(1, "y").alias("y2"), prop("highway").alias("highway"))
+
+
+@query(f"WITH {_EDGE_XY} SELECT edge_id AS feature_index, true AS returns FROM e")
+def vector_reprojection(spark, sf):
+    """To the next belt and back within a millimetre, and elsewhere in between."""
+    layer = A.lines(spark, sf)
+    there = vector.reproject(layer, "EPSG:5186")
+    both = vector.reproject(there, A.CRS).df.select("feature_index", F.col("geom.parts")[0][0].alias("q"))
+    far = there.df.select("feature_index", F.col("geom.parts")[0][0].alias("m"))
+    met = layer.df.select("feature_index", F.col("geom.parts")[0][0].alias("p")).join(both, "feature_index").join(far, "feature_index")
+    gap = lambda a, b: F.hypot(F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y"))
+    return met.select("feature_index", ((gap("p", "q") < 1e-3) & (gap("p", "m") > 1000)).alias("returns"))
 
 
 # ---- road graphs
@@ -284,10 +346,7 @@ def component_summary(spark, sf):
 
 @query(f"WITH RECURSIVE {_COMP}, {_SUMMARY} SELECT component, edge_count, round(edge_count / (SELECT sum(edge_count) FROM summary), 4) AS edge_fraction FROM summary ORDER BY edge_count DESC, component LIMIT 1")
 def largest_component(spark, sf):
-    s = component_summary(spark, sf)
-    total = s.agg(F.sum("edge_count").alias("t"))
-    best = s.orderBy(F.desc("edge_count"), "component").limit(1)
-    return best.join(F.broadcast(total)).select("component", "edge_count", F.round(F.col("edge_count") / F.col("t"), 4).alias("edge_fraction"))
+    return roads.largest_component(component_summary(spark, sf))
 
 
 @query(f"WITH edges AS ({A.EDGES}), d AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) t GROUP BY node) SELECT degree, count(*) AS n FROM d GROUP BY degree")
@@ -353,34 +412,58 @@ def settlement_nodes(spark, sf):
     return rounded(roads.nearest_nodes(A.graph(spark, sf).nodes, A.rows(spark, sf, A.PLACES), 60.0))
 
 
-@query(f"WITH p AS ({A.PLACES}), q AS (SELECT place_id, floor(x / 40) AS x, floor(y / 40) AS y FROM p WHERE place_id < 400) SELECT place_id AS pid, min(place_id) OVER (PARTITION BY x, y) AS node FROM q")
+@query(f"WITH p AS ({A.PLACES}), q AS (SELECT place_id, floor(x / 40) AS x, floor(y / 40) AS y FROM p) SELECT place_id AS pid, min(place_id) OVER (PARTITION BY x, y) AS node FROM q")
 def exact_endpoint_clusters(spark, sf):
-    """Over all places; the SQL has those under 400 only."""
     p = A.rows(spark, sf, A.PLACES).select(F.col("place_id").alias("pid"), F.floor(F.col("x") / 40).cast("double").alias("x"), F.floor(F.col("y") / 40).cast("double").alias("y"))
     return roads.cluster_endpoints(p, 0.0).select("pid", "node")
 
 
-@query(f"WITH RECURSIVE p AS (SELECT place_id, x, y FROM ({A.PLACES}) t WHERE place_id < 300), n AS (SELECT a.place_id AS a, b.place_id AS b FROM p a, p b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 45), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b) SELECT a AS pid, min(b) AS node FROM reach GROUP BY a")
+@query(f"WITH RECURSIVE p AS (SELECT place_id, x, y FROM ({A.PLACES}) t), n AS (SELECT a.place_id AS a, b.place_id AS b FROM p a, p b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 45), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b) SELECT a AS pid, min(b) AS node FROM reach GROUP BY a")
 def snapped_endpoint_clusters(spark, sf):
-    """Over all places; the recursive SQL has those under 300 only."""
     p = A.rows(spark, sf, A.PLACES).select(F.col("place_id").alias("pid"), "x", "y")
     return roads.cluster_endpoints(p, 45.0).select("pid", "node")
 
 
 _DIAGONALS = "SELECT s_suppkey AS id, CAST(s_suppkey AS DOUBLE) * 10.0 AS x1, CAST(0 AS DOUBLE) AS y1, CAST((s_suppkey * 7) % 100 AS DOUBLE) * 10.0 AS x2, CAST(1000 AS DOUBLE) AS y2 FROM supplier"
-_DIAG = f"{_DIAGONALS} WHERE s_suppkey < 40"
+_DIAG = _DIAGONALS
 _DEN = "((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
 _TT = f"(((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / {_DEN})"
 
 
 @query(f"WITH s AS ({_DIAG}), m AS (SELECT a.id AS a, b.id AS b, a.x1 + {_TT} * (a.x2 - a.x1) AS x, a.y1 + {_TT} * (a.y2 - a.y1) AS y FROM s a JOIN s b ON a.id < b.id AND {_DEN} <> 0) SELECT a, b, round(x, 3) AS x, round(y, 3) AS y FROM m WHERE y BETWEEN -1e-9 AND 1000 + 1e-9")
 def line_crossings(spark, sf):
-    """Over all suppliers' lines; the SQL has those under 40 only."""
     s = A.rows(spark, sf, _DIAGONALS)
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return rounded(roads.crossings(s.select("id", F.array(p("x1", "y1"), p("x2", "y2")).alias("line")), "id"), 3)
 
 
+@query(f"WITH s AS ({_DIAG}), m AS (SELECT a.id AS a, b.id AS b, a.x1 + {_TT} * (a.x2 - a.x1) AS x, a.y1 + {_TT} * (a.y2 - a.y1) AS y FROM s a JOIN s b ON a.id < b.id AND {_DEN} <> 0), e AS (SELECT x1 AS x, y1 AS y FROM s UNION SELECT x2, y2 FROM s) SELECT a, b FROM m WHERE y BETWEEN -1e-9 AND 1000 + 1e-9 AND NOT EXISTS (SELECT 1 FROM e WHERE sqrt(pow(e.x - m.x, 2) + pow(e.y - m.y, 2)) <= 0.5)")
+def crossings_without_node(spark, sf):
+    s = A.rows(spark, sf, _DIAGONALS)
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    nodes = s.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(s.select(F.col("x2").alias("x"), F.col("y2").alias("y"))).distinct()
+    g = roads.RoadGraph(nodes, s.select(F.col("id").alias("edge_id"), F.array(p("x1", "y1"), p("x2", "y2")).alias("line")), C.parse_crs(A.CRS))
+    return roads.crossings_without_node(g).select("a", "b")
+
+
+_CELLS = f"SELECT CAST(floor(x / 130) * 100 + floor(y / 130) AS BIGINT) AS node, x, y FROM ({A.PLACES}) p"
+
+
+@query(f"WITH p AS ({_CELLS}) SELECT a.node, round(max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) AS span FROM p a JOIN p b ON a.node = b.node GROUP BY a.node")
+def cluster_spans(spark, sf):
+    return rounded(roads.cluster_spans(A.rows(spark, sf, _CELLS)))
+
+
+@query(f"WITH p AS ({_CELLS}) SELECT node, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM p GROUP BY node")
+def cluster_centroids(spark, sf):
+    return rounded(roads.centroids(A.rows(spark, sf, _CELLS)))
+
+
+@query(f"WITH e AS (SELECT edge_id, u, CASE WHEN edge_id % 5 = 0 THEN u ELSE v END AS v FROM ({A.EDGES}) t) SELECT edge_id, u FROM e WHERE u = v")
+def self_loops(spark, sf):
+    return roads.self_loops(A.rows(spark, sf, f"SELECT edge_id, u, CASE WHEN edge_id % 5 = 0 THEN u ELSE v END AS v FROM ({A.EDGES}) t")).select("edge_id", "u")
+
+
 @query(f"WITH {_EDGE_XY}, b AS (SELECT * FROM (VALUES ('all', 0, 0, 900, 900), ('sw', 0, 0, 450, 450), ('se', 450, 0, 900, 450), ('nw', 0, 450, 450, 900), ('ne', 450, 450, 900, 900)) t(box, x0, y0, xe, ye)), l AS (SELECT box, x0, y0, xe, ye, CASE WHEN least(x1, x2) <= xe AND greatest(x1, x2) >= x0 AND least(y1, y2) <= ye AND greatest(y1, y2) >= y0 THEN greatest(0, least(greatest(x1, x2), xe) - greatest(least(x1, x2), x0)) + greatest(0, least(greatest(y1, y2), ye) - greatest(least(y1, y2), y0)) ELSE 0 END AS len FROM e, b) SELECT box, round(sum(len) / 1000.0, 6) AS length_km, round(sum(len) / 1000.0 / (min(xe - x0) * min(ye - y0) / 1e6), 3) AS km_per_km2 FROM l GROUP BY box")
 def network_density(spark, sf):
     return roads.network_density(A.graph(spark, sf).edges, Bounds(0, 0, 900, 900, A.CRS))
@@ -412,10 +495,10 @@ def build_road_graph(spark, sf):
 @query("WITH w AS (SELECT l_orderkey AS way, l_linenumber AS i, l_partkey AS ref FROM lineitem), j AS (SELECT way, i, ref, p_partkey, p_retailprice FROM w LEFT JOIN (SELECT * FROM part WHERE p_partkey % 20 <> 0) p ON p_partkey = ref) SELECT way, count(*) AS n_refs, round(sum(p_retailprice), 2) AS checksum FROM j GROUP BY way HAVING count(*) = count(p_partkey) AND count(*) >= 2")
 def way_node_join(spark, sf):
     """Ordered references of ways to nodes: a way with an absent node or under two points goes."""
-    w = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("ref"))
+    w = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("way"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("ref"))
     n = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("ref"), "p_retailprice")
-    j = w.join(n, "ref", "left").groupBy("way").agg(F.count("*").alias("n_refs"), F.count("p_retailprice").alias("found"), F.round(F.sum("p_retailprice"), 2).alias("checksum"))
-    return j.where("n_refs = found and n_refs >= 2").select("way", "n_refs", "checksum")
+    j = join_ways(w, n, keep=["p_retailprice"]).where("n = found and n >= 2")
+    return j.select("way", F.col("n").alias("n_refs"), F.round(F.aggregate("ps", F.lit(0.0), lambda t, q: t + q["p"]["p_retailprice"]), 2).alias("checksum"))
 
 
 # ---- records
@@ -434,8 +517,7 @@ def population_strata(spark, sf):
 
 @query(f"WITH p AS ({A.POPULATION}) SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(CASE WHEN total IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, CAST(sum(CASE WHEN total IS NOT NULL AND old IS NOT NULL AND young + old <> total THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch FROM p")
 def population_summary(spark, sf):
-    p = population_strata(spark, sf)
-    return p.agg(F.sum("total").alias("total"), F.count_if(F.col("total").isNull()).alias("n_missing"), F.count_if(~F.coalesce("matches", F.lit(True))).alias("n_mismatch"))
+    return records.population_summary(A.rows(spark, sf, A.POPULATION).withColumn("strata", _strata()), total="total")
 
 
 _BANDS = "SELECT CAST(n_nationkey * 10 AS INT) AS lower, CAST(CASE WHEN n_nationkey = 24 THEN NULL ELSE n_nationkey * 10 + 10 + n_nationkey % 4 * 3 END AS INT) AS upper FROM nation"
@@ -456,8 +538,7 @@ _KINDS = {"0": "shelter", "1": "temporary_refuge_candidate", "2": "responder_bas
 
 @query(f"WITH f AS ({A.FACILITIES}), k AS (SELECT CASE tag {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in _KINDS.items())} ELSE 'other' END AS kind, capacity, assessed FROM f) SELECT kind, count(*) AS n, count(capacity) AS with_capacity, CAST(sum(CASE WHEN assessed THEN 1 ELSE 0 END) AS BIGINT) AS assessed FROM k GROUP BY kind")
 def facilities_summary(spark, sf):
-    f = records.facilities(A.rows(spark, sf, A.FACILITIES), "tag", _KINDS, "other")
-    return f.groupBy("kind").agg(F.count("*").alias("n"), F.count("capacity").alias("with_capacity"), F.count_if("assessed").alias("assessed"))
+    return records.facilities_summary(records.facilities(A.rows(spark, sf, A.FACILITIES), "tag", _KINDS, "other"), "capacity", "assessed")
 
 
 @query(f"WITH t AS ({A.CODES}), c AS (SELECT DISTINCT coalesce(value * 2 - 1, 255) AS code FROM t) SELECT CAST(code AS INT) AS code, CASE code WHEN 255 THEN 'nodata' {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in records.DEMO_CLASSES.items())} ELSE 'UNKNOWN' END AS label FROM c")
@@ -476,9 +557,7 @@ def unknown_codes(spark, sf):
 
 @query(f"WITH l AS ({A.LAYERS}), r AS (SELECT bundle, CASE data_class WHEN 'derived' THEN 5 WHEN 'synthetic' THEN 6 ELSE 7 END AS k FROM l) SELECT bundle, CASE min(k) WHEN 5 THEN 'derived' WHEN 6 THEN 'synthetic' ELSE 'observed' END AS data_class FROM r GROUP BY bundle")
 def combined_data_class(spark, sf):
-    names = F.array(*map(F.lit, CLASS_PRECEDENCE))
-    l = A.rows(spark, sf, A.LAYERS)  # noqa: E741
-    return l.groupBy("bundle").agg(F.min(F.array_position(names, F.col("data_class"))).alias("k")).select("bundle", names[(F.col("k") - 1).cast("int")].alias("data_class"))
+    return facts.combined_classes(A.rows(spark, sf, A.LAYERS), "bundle")
 
 
 _FIELDS_U = ("crs", "temporal_reference", "checksum", "valid_from", "licence")
@@ -486,15 +565,12 @@ _FIELDS_U = ("crs", "temporal_reference", "checksum", "valid_from", "licence")
 
 @query(f"WITH l AS ({A.LAYERS}), u AS ({' UNION ALL '.join(f'SELECT bundle, {chr(39)}{f}{chr(39)} AS field FROM l WHERE {f} = {chr(39)}UNKNOWN{chr(39)}' for f in _FIELDS_U)}) SELECT field, count(*) AS n FROM u GROUP BY field")
 def unknown_fields(spark, sf):
-    l = A.rows(spark, sf, A.LAYERS)  # noqa: E741
-    pairs = F.array(*[F.when(F.col(f) == "UNKNOWN", F.lit(f)) for f in _FIELDS_U])
-    return l.select(F.explode(F.array_compact(pairs)).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    return facts.unknown_fields(A.rows(spark, sf, A.LAYERS), _FIELDS_U)
 
 
-@query(f"WITH l AS ({A.LAYERS}) SELECT DISTINCT bundle, licence, licence LIKE 'ODbL%' OR licence LIKE 'CC-BY%' AS attribution FROM l WHERE licence <> 'UNKNOWN'")
+@query(f"WITH l AS ({A.LAYERS}) SELECT DISTINCT bundle, licence, strpos(licence, 'ODbL') > 0 OR strpos(lower(licence), 'attribution') > 0 AS attribution FROM l WHERE licence <> 'UNKNOWN'")
 def licence_rollup(spark, sf):
-    l = A.rows(spark, sf, A.LAYERS).where("licence <> 'UNKNOWN'")  # noqa: E741
-    return l.select("bundle", "licence", (F.col("licence").like("ODbL%") | F.col("licence").like("CC-BY%")).alias("attribution")).distinct()
+    return contract.licence_rollup(A.rows(spark, sf, A.LAYERS).where("licence <> 'UNKNOWN'"), "bundle")
 
 
 def _checks(name: str, facts: str, table: str, subject: str) -> None:
@@ -535,8 +611,8 @@ def canonical_grid(spark, sf):
     return contract.canonical_grid(A.rows(spark, sf, _GRIDS), "bundle")
 
 
-_SLOT_ROWS = "SELECT o_orderkey % 200 AS bundle, CASE o_orderkey % 5 WHEN 0 THEN 'terrain' WHEN 1 THEN 'roads' WHEN 2 THEN 'fuels' WHEN 3 THEN 'population' ELSE 'facilities' END AS slot FROM orders WHERE o_orderkey % 7 < 2"
-_SLOTS = f"SELECT bundle * 3 % 40 AS bundle, slot, min(bundle) % 9 <> 5 AS usable, min(bundle) % 6 = 0 AS material FROM ({_SLOT_ROWS}) s GROUP BY 1, 2"
+_SLOT_ROWS = "SELECT CAST(floor(o_orderkey / 5) AS BIGINT) % 40 AS bundle, o_orderkey % 5 AS k FROM orders"
+_SLOTS = f"SELECT bundle, CASE WHEN (bundle * 7 + k * 3) % 11 = 0 THEN 'other' WHEN k = 0 THEN 'terrain' WHEN k = 1 THEN 'roads' WHEN k = 2 THEN 'fuels' WHEN k = 3 THEN 'population' ELSE 'facilities' END AS slot, min((bundle + k) % 9) <> 5 AS usable, min((bundle + k) % 6) = 0 AS material FROM ({_SLOT_ROWS}) s GROUP BY 1, 2"
 _GRID_STATUS = "SELECT n_nationkey AS bundle, CASE WHEN n_nationkey % 3 = 0 THEN 'MISMATCHED' ELSE 'SHARED' END AS grid_status FROM nation"
 _NEED = ", ".join(f"('{p}', '{s}')" for p, ss in contract.PROFILES.items() for s in ss)
 
@@ -550,16 +626,15 @@ def consumer_readiness(spark, sf):
 @query("WITH m AS (SELECT p_partkey AS k, p_size AS c FROM part WHERE p_partkey % 3 <> 0), d AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 1 THEN -1 ELSE p_size END AS c FROM part WHERE p_partkey % 4 <> 0) SELECT coalesce(m.k, d.k) AS file, CASE WHEN m.k IS NULL THEN 'orphan' WHEN d.k IS NULL THEN 'missing' ELSE 'changed' END AS state FROM m FULL OUTER JOIN d ON m.k = d.k WHERE m.k IS NULL OR d.k IS NULL OR m.c <> d.c")
 def manifest_differences(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    m = p.where("p_partkey % 3 <> 0").select("p_partkey", F.col("p_size").alias("mc"), F.lit(True).alias("in_m"))
-    d = p.where("p_partkey % 4 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 10 == 1, -1).otherwise(F.col("p_size")).alias("dc"), F.lit(True).alias("in_d"))
-    state = F.when(F.col("in_m").isNull(), "orphan").when(F.col("in_d").isNull(), "missing").when(F.col("mc") != F.col("dc"), "changed")
-    return m.join(d, "p_partkey", "full_outer").select(F.col("p_partkey").alias("file"), state.alias("state")).where("state is not null")
+    m = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("file"), F.col("p_size").alias("c"))
+    d = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 10 == 1, -1).otherwise(F.col("p_size")).alias("c"))
+    return contract.differences(m, d, "file", "c")
 
 
 @query("SELECT p_partkey AS file, sha256(concat(CAST(p_partkey AS VARCHAR), '|', p_name)) AS checksum FROM part")
 def row_checksums(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet")
-    return p.select(F.col("p_partkey").alias("file"), F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name"), 256).alias("checksum"))
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumnRenamed("p_partkey", "file")
+    return raster_files.row_checksums(p, "file", ["file", "p_name"])
 
 
 def _records(df: DataFrame, name: str, **props) -> VectorLayer:
