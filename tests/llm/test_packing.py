@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terraweave.llm import length_buckets, line_dedup, packed_output, pivot_search
 from terraweave.llm.queries import op4_exact_top_k
@@ -152,20 +153,30 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     for step, dense in ((4, 1.0), (16, 0.0)):
         monkeypatch.setattr(pivot_search, "STEP", step)
         monkeypatch.setattr(pivot_search, "DENSE", dense)
-        monkeypatch.setattr(pivot_search, "STRIPE_ROWS", 90)
         monkeypatch.setattr(pivot_search, "GROUP_ROWS", 7)
+        monkeypatch.setattr(pivot_search, "PAIR_ROWS", 5)
         rng = np.random.default_rng(step)
         centres = rng.integers(-50, 50, (4, 3))
         small = [(i, (centres[i % 4] + rng.integers(-2, 3, 3)).tolist()) for i in range(300)]
         df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in small], "vec_id bigint, embedding array<double>")
-        assert found(pivot_search.top_k(df, df.where("vec_id % 20 = 0"), k=7)) == best(small, [r for r in small if r[0] % 20 == 0], 7)
+        told = {}
+        assert found(pivot_search.top_k(df, df.where("vec_id % 20 = 0"), k=7, pivots=8, stripe_rows=20, told=told)) == best(small, [r for r in small if r[0] % 20 == 0], 7)
+        # Loose clusters of small numbers: most stripes lie too far away for a query to ask.
+        assert told["searched"] < 0.7 * told["pairs"]
 
 
 def test_top_k_of_odd_rows(spark):
     big = 3_000_000_001.0
-    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [big, 1.0]), (9, [big, 2.0]), (None, [1.0, 1.0]), (20, [big, 3.0]), (40, [0.0, 0.0]), (60, [5.0])]
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [big, 1.0]), (9, [big, 2.0]), (None, [1.0, 1.0]), (20, [big, 3.0]), (40, [0.0, 0.0]), (20, [big, 2.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    df = df.withColumns({"stripe": F.lit("x"), "score": F.lit(0.5), "t": F.lit(1)})
     good = [(i, [int(x) for x in v]) for i, v in rows if i in (0, 1, 2, 8, 9, 20, 40)]
-    assert found(pivot_search.top_k(df, df.where("vec_id % 20 = 0"), k=4)) == best(good, [r for r in good if r[0] % 20 == 0], 4)
+    # Of a query's rows the one with the smallest vector asks; all rows of other ids are candidates.
+    asks = {i: min(v for j, v in good if j == i) for i in (0, 20, 40)}
+    for stripe_rows in (8192, 2):
+        assert found(pivot_search.top_k(df, df.where("vec_id % 20 = 0"), k=4, stripe_rows=stripe_rows)) == best(good, list(asks.items()), 4)
+    longer = df.unionByName(spark.createDataFrame([(60, [5.0], "x", 0.5, 1)], df.schema))
+    with pytest.raises(ValueError):
+        pivot_search.top_k(longer, longer.where("vec_id % 20 = 0"))
     assert pivot_search.top_k(df.limit(0), df.limit(0)).count() == 0
     assert pivot_search.quantised(df).count() == len(rows)
