@@ -16,9 +16,9 @@ from .model import UNKNOWN, Bounds, Provenance, RasterLayer, VectorLayer
 from .operators import contract, records, study, validation
 from .plans.staging import staged
 from .session import get_session
-from .sources.bundle import load_area, read_records, save_area, validate_directory, write_bundle
+from .sources.bundle import load_area, read_records, save_area, validate_directory, write_bundle, write_report
 from .sources.raster import read_any, read_class_geotiff, read_raster, write_raster
-from .sources.vector import read_geojson, write_geojson
+from .sources.vector import read_geojson, read_roads, write_geojson
 
 
 def _provenance(args) -> Provenance:
@@ -74,7 +74,7 @@ class SourceSpec:
         return layer if not self.record.sources else replace(layer, provenance=self.record)
 
     def vector(self, spark: SparkSession) -> VectorLayer:
-        return read_geojson(spark, self.path, self.record, self.crs)
+        return (read_roads if self.record.layer_name == "roads" else read_geojson)(spark, self.path, self.record, self.crs)
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,9 @@ def build(spark: SparkSession, args) -> dict:
     if "facilities" in given and given["facilities"].options:
         options["facility_options"] = given["facilities"].options
     area = study.build(config.crs, config.bounds, id=config.id, scheme=config.scheme, **rasters, **vectors, **options, **config.rest)
-    return save_area(spark, args.out, area, args.overwrite)
+    manifest = save_area(spark, args.out, area, args.overwrite)
+    told = write_report(spark, args.out, staged(validate_directory(spark, args.out)))
+    return manifest | {"validation": {k: told[k] for k in ("status", "errors", "warnings", "infos")}}
 
 
 def validate(spark: SparkSession, args) -> dict:

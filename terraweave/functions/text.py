@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import IngestError
+
 # Field names that no layer may carry.
 PRIVATE_PATTERNS = (
     r"resident.?registration",
@@ -56,6 +60,42 @@ def cover_tile_name(lat: Column, lon: Column) -> Column:
     return F.concat(letter(lat, "N", "S"), F.lpad(F.abs(lat).cast("string"), 2, "0"), letter(lon, "E", "W"), F.lpad(F.abs(lon).cast("string"), 3, "0"))
 
 
+# Where the public tiles lie.
+DEM_BASE = "https://copernicus-dem-30m.s3.amazonaws.com"
+COVER_BASE = "https://esa-worldcover.s3.eu-central-1.amazonaws.com/v200/2021/map/ESA_WorldCover_10m_2021_v200_"
+
+
+def dem_tile_url(lat: Column, lon: Column) -> Column:
+    name = dem_tile_name(lat, lon)
+    return F.concat(F.lit(f"{DEM_BASE}/"), name, F.lit("/"), name, F.lit(".tif"))
+
+
+def cover_tile_url(lat: Column, lon: Column) -> Column:
+    return F.concat(F.lit(COVER_BASE), cover_tile_name(lat, lon), F.lit("_Map.tif"))
+
+
+def nodata_text(value: float | None) -> str:
+    """A nodata value in a record; none declared is known, unlike UNKNOWN."""
+    return "none_declared" if value is None else "nan" if math.isnan(value) else repr(value)
+
+
+def nodata_json(value: float | None) -> float | str | None:
+    """A nodata value for JSON, which has no NaN."""
+    return "nan" if value is not None and math.isnan(value) else value
+
+
+def nodata_of_json(value: float | str | None) -> float | None:
+    if isinstance(value, str):
+        if value != "nan":
+            raise IngestError(f"a nodata value is a number, null or 'nan', not {value!r}")
+        return math.nan
+    return value
+
+
+def unit_text(value: str | None) -> str:
+    return "UNKNOWN" if value is None else str(value)
+
+
 def bbox_text(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.format_string("%.6f,%.6f,%.6f,%.6f", x0, y0, x1, y1)
 

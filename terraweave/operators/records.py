@@ -29,8 +29,22 @@ class ClassScheme:
     nodata: int
     data_class: str = "observed"
     source: str = "UNKNOWN"
+    #: legend (the publisher's own classes) or crosswalk (a model of them).
+    kind: str = "legend"
+
+    @staticmethod
+    def of_pairs(name: str, pairs: list[tuple[int, str]], nodata: int, **more) -> ClassScheme:
+        """A scheme from a list, in which no code may stand twice."""
+        codes = [c for c, _ in pairs]
+        if len(set(codes)) < len(codes):
+            raise IngestError(f"codes {sorted({c for c in codes if codes.count(c) > 1})} stand twice")
+        return ClassScheme(name, dict(pairs), nodata, **more)
 
     def __post_init__(self):
+        if not self.name.strip() or not self.labels:
+            raise IngestError("a scheme has a name and classes")
+        if self.kind not in ("legend", "crosswalk") or (self.kind == "crosswalk" and self.data_class == "observed"):
+            raise IngestError("a scheme is a legend or a crosswalk, and a crosswalk is never observed")
         if self.nodata in self.labels:
             raise IngestError("the nodata code is no class")
         if self.data_class != "synthetic" and self.source == "UNKNOWN":

@@ -186,6 +186,14 @@ def directory_facts(spark: SparkSession, path: str, area: StudyArea | None) -> D
     return spark.createDataFrame([(path, has, area is not None, there, readable, differs)], "directory string, has_manifest boolean, manifest_readable boolean, has_contract boolean, contract_readable boolean, contract_differs boolean")
 
 
+def write_report(spark: SparkSession, path: str, found: DataFrame, overwrite: bool = True) -> dict:
+    """Counts, verdict and findings beside a bundle, written after it was validated."""
+    verdict = validation.status(found).first().asDict()
+    payload = verdict | {"target": path, "findings": [r.asDict() for r in validation.report(found).toLocalIterator()]}
+    files.write_json(spark, f"{path}/validation/report.json", payload, overwrite)
+    return payload
+
+
 def validate_directory(spark: SparkSession, path: str) -> DataFrame:
     """All findings over a bundle on disk: what it holds, its files, its contract.
 

@@ -25,6 +25,20 @@ def write_stream(spark: SparkSession, path: str, parts: Iterable[str], overwrite
         out.close()
 
 
+def write_bytes(spark: SparkSession, path: str, parts: Iterable[bytes]) -> None:
+    """A new file from pieces of bytes; one that fails midway is taken away again."""
+    store, target = _at(spark, path)
+    out = store.create(target, False)
+    try:
+        for part in parts:
+            out.write(bytearray(part))
+    except BaseException:
+        out.close()
+        store.delete(target, False)
+        raise
+    out.close()
+
+
 def write_json(spark: SparkSession, path: str, payload: dict, overwrite: bool = False) -> str:
     """A small JSON file with sorted keys; returns its checksum."""
     text = json.dumps(payload, sort_keys=True, indent=1)
@@ -32,6 +46,11 @@ def write_json(spark: SparkSession, path: str, payload: dict, overwrite: bool =
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def json_checksum(payload) -> str:
+    """SHA-256 of a JSON structure, whatever the order of its keys."""
+    return hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, target = _at(spark, path)
     return bool(store.exists(target))

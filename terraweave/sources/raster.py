@@ -247,6 +247,30 @@ def write_geotiff(layer: RasterLayer, path: str, limit: int = FILE_CELLS) -> Non
     _write_bytes(layer.df.sparkSession, path, encode_tiff(_filled(layer, _array(layer, limit)), layer.grid, layer.nodata))
 
 
+def write_any(layer: RasterLayer, path: str) -> None:
+    """By the path's suffix, as read_any and read_raster take it: .npz, .tif or .tiff, or a folder without one."""
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    suffix = last.rsplit(".", 1)[-1].lower() if "." in last else ""
+    if suffix == "npz":
+        write_npz(layer, path, path[:-4] + ".json")
+    elif suffix in ("tif", "tiff"):
+        write_geotiff(layer, path)
+    elif not suffix:
+        write_raster(layer, path)
+    else:
+        raise RasterError(f"no raster format has the suffix {suffix!r}")
+
+
+def class_layer(df: DataFrame, grid: Grid, crs, scheme: ClassScheme, provenance: Provenance) -> RasterLayer:
+    """Cells of whole class codes as a layer; the nodata code becomes NULL, other codes than the scheme's raise."""
+    if dict(df.dtypes)["value"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise RasterError("class codes are whole numbers; a fraction comes of averaging them")
+    unknown = [r["code"] for r in scheme.unknown_codes(df).limit(20).collect()]
+    if unknown:
+        raise IngestError(f"codes {unknown} are not in the scheme {scheme.name}")
+    return RasterLayer(df.withColumn("value", normalised(F.col("value"), scheme.nodata)), grid, crs, "categorical", scheme.nodata, provenance)
+
+
 def read_any(spark: SparkSession, path: str, provenance: Provenance, **options) -> RasterLayer:
     """By the path's suffix: .npz (sidecar beside it, .json), .tif or .tiff; others raise."""
     suffix = path.rsplit(".", 1)[-1].lower()

@@ -66,6 +66,15 @@ def read_geojson(spark: SparkSession, path: str, provenance: Provenance, crs=Non
     return VectorLayer(rows.select("feature_index", geom.alias("geom"), "props"), crs, provenance)
 
 
+def read_roads(spark: SparkSession, path: str, provenance: Provenance, crs=None) -> VectorLayer:
+    """Road lines; an empty layer or any other geometry raises."""
+    layer = read_geojson(spark, path, provenance, crs)
+    kinds = {r["t"] for r in layer.df.select(F.col("geom.type").alias("t")).distinct().collect()}
+    if not kinds or kinds - {"LineString", "MultiLineString"}:
+        raise IngestError(f"a road layer holds lines, not {sorted(kinds) or 'nothing'}")
+    return layer
+
+
 def write_geojson(layer: VectorLayer, path: str) -> None:
     """One FeatureCollection file in the layer's own system, which it names and which must be declared.
 
