@@ -75,11 +75,29 @@ def test_critical_links(spark, edges, exits, homes, want):
     assert {(r.u, r.v) for r in roads.critical_links(e, c, m).collect()} == want
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_components_in_one_task_and_in_rounds(spark, one_task):
+    """A long path, self-loops, null ends and a random graph; both ways alike."""
     path = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    got = connected_components(path)
+    got = connected_components(path, one_task=one_task)
     assert got.count() == 301 and {r.component for r in got.collect()} == {0}
-    assert connected_components(path.limit(0)).count() == 0
+    assert connected_components(path.limit(0), one_task=one_task).count() == 0
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(500, 500), (7, 7), (None, 3), (3, None), (9, 8), (8, 9)]
+    near, want = {}, {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            n = todo.pop()
+            if n not in want:
+                want[n] = start
+                todo += near[n]
+    found = connected_components(spark.createDataFrame(pairs, "u bigint, v bigint"), one_task=one_task)
+    assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
 
 
 def test_duplicates_forward_and_back(spark):
