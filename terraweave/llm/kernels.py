@@ -178,14 +178,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def times(x: np.ndarray, w: np.ndarray, block: int = 1024) -> np.ndarray:
-    """x @ w, each row by the same arithmetic wherever it stands: every product has the same shape."""
+def times(x: np.ndarray, w: np.ndarray, bias: np.ndarray | None = None, block: int = 1024) -> np.ndarray:
+    """x @ w (+ bias), each row by the same arithmetic wherever it stands: every product has the same shape."""
     out = np.empty((len(x), w.shape[1]), np.result_type(x, w))
     for at in range(0, len(x), block):
         part = x[at : at + block]
         if len(part) < block:
             part = np.concatenate((part, np.zeros((block - len(part), x.shape[1]), x.dtype)))
-        out[at : at + block] = (part @ w)[: len(x) - at]
+            out[at : at + block] = (part @ w)[: len(x) - at]
+        else:
+            np.matmul(part, w, out=out[at : at + block])
+    if bias is not None:
+        out += bias
     return out
 
 

@@ -70,13 +70,18 @@ def _classes(words: np.ndarray, leaf: np.ndarray, own: np.ndarray) -> np.ndarray
     return np.where(at >= 0, at, OWN + leaf // BRANCHES)
 
 
-def _softmax_step(logit: np.ndarray, target: np.ndarray, scale: float) -> np.ndarray:
+def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit over hidden values of -1 to 1 can leave the range of single precision's exp."""
+    return float(np.abs(weights).sum(0).max() + np.abs(bias).max()) < 80
+
+
+def _softmax_step(logit: np.ndarray, target: np.ndarray, scale: float, small: bool) -> np.ndarray:
     """The scaled gradient of the log loss by the logits, in their place."""
-    logit -= logit.max(1, keepdims=True)
+    if not small:
+        logit -= logit.max(1, keepdims=True)
     np.exp(logit, out=logit)
-    logit /= logit.sum(1, keepdims=True)
-    logit[np.arange(len(target)), target] -= 1
-    logit *= scale
+    logit *= (scale / logit.sum(1))[:, None]
+    logit[np.arange(len(target)), target] -= scale
     return logit
 
 
@@ -86,11 +91,14 @@ def _one_hot(rows: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(logit: np.ndarray, target: np.ndarray) -> np.ndarray:
-    top = logit.max(1)
+def _log_softmax(logit: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
     right = logit[np.arange(len(logit)), target]
-    np.exp(logit - top[:, None], out=logit)
-    return right - top - np.log(logit.sum(1))
+    if not small:
+        top = logit.max(1)
+        logit -= top[:, None]
+        right -= top
+    np.exp(logit, out=logit)
+    return right - np.log(logit.sum(1))
 
 
 _SHAPES = {
@@ -150,11 +158,11 @@ class Network:
     def train(self, near: np.ndarray, target: np.ndarray, branch: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean conditional log loss; branch counts for shared classes."""
         h, scale = self.hidden(near), np.float32(rate / len(target))
-        p = _softmax_step(h @ self.out + self.out_bias, target, scale)
+        p = _softmax_step(h @ self.out + self.out_bias, target, scale, _small(self.out, self.out_bias))
         d = p @ self.out.T
         shared = np.flatnonzero(target >= OWN)
         kind, hs = target[shared] - OWN, h[shared]
-        q = _softmax_step(hs @ self.branch + self.branch_bias[kind], branch[shared], scale)
+        q = _softmax_step(hs @ self.branch + self.branch_bias[kind], branch[shared], scale, _small(self.branch, self.branch_bias))
         d[shared] += q @ self.branch.T
         d *= 1 - h * h
         self.out -= h.T @ p
@@ -167,13 +175,15 @@ class Network:
 
     def log_probability(self, near: np.ndarray, target: np.ndarray, branch: np.ndarray) -> np.ndarray:
         """Of each word's class, and where it is shared of its branch too."""
-        out = np.empty(len(target))
+        out, small = np.empty(len(target)), (_small(self.out, self.out_bias), _small(self.branch, self.branch_bias))
         for at in range(0, len(target), 8192):
             part, goal = slice(at, at + 8192), target[at : at + 8192]
             h = self.hidden(near[:, part])
-            out[part] = _log_softmax(K.times(h, self.out) + self.out_bias, goal)
+            out[part] = _log_softmax(K.times(h, self.out, self.out_bias), goal, small[0])
             shared = np.flatnonzero(goal >= OWN)
-            out[at + shared] += _log_softmax(K.times(h[shared], self.branch) + self.branch_bias[goal[shared] - OWN], branch[part][shared])
+            logit = K.times(h[shared], self.branch)
+            logit += self.branch_bias[goal[shared] - OWN]
+            out[at + shared] += _log_softmax(logit, branch[part][shared], small[1])
         return out
 
 
