@@ -155,6 +155,14 @@ def test_join_equals_brute_force(spark, docs, odd, large, monkeypatch):
     assert pairs(got, *columns) == joined([(r.doc_id, r.text) for r in odd.where("doc_id is not null").collect()])
 
 
+def test_join_judges_rows_by_their_text(spark):
+    """Ids that repeat with other texts, and rows without an id, which link like others."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(5, one), (5, two), (3, one + " x"), (9, two + " y"), (None, three), (7, three + " z"), (None, "alone in the world it stands here"), (5, "short"), (None, None)]
+    got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert pairs(got, "doc_id", "n_shingles", "component_id") == joined(rows)
+
+
 def test_join_keeps_rows_without_id_and_empty_tables(odd, none):
     got = ngram_join.similarity_classes(odd)
     assert got.count() == odd.count()
