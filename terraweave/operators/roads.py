@@ -103,20 +103,26 @@ def split_at_crossings(lines: DataFrame) -> DataFrame:
 def cluster_endpoints(points: DataFrame, tolerance: float) -> DataFrame:
     """(pid, node): points (pid, x, y) joined transitively where they lie within the tolerance.
 
-    node is the smallest pid of the cluster. With tolerance 0 equal coordinates join. Candidates
-    come from the 3x3 neighbour cells of a grid of the tolerance's size.
+    node is the smallest pid of the cluster. With tolerance 0 equal coordinates join. Cells are so
+    small that all points of one belong together, so they are linked to its first and never paired;
+    between neighbouring cells one pair within the tolerance links them, and cells, not points,
+    are what the components run over.
     """
     if tolerance < 0:
         raise GraphError("the snap tolerance is negative")
     same = points.groupBy("x", "y").agg(F.min("pid").alias("head"))
     heads = same.select(F.col("head").alias("pid"), "x", "y")
     if tolerance > 0:
-        cell = heads.withColumns({"cx": F.floor(F.col("x") / tolerance), "cy": F.floor(F.col("y") / tolerance)})
-        step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        near = cell.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).select(F.col("pid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        pairs = near.join(cell, ["cx", "cy"]).where((F.col("u") < F.col("pid")) & (F.hypot(F.col("ux") - F.col("x"), F.col("uy") - F.col("y")) <= tolerance))
-        found = connected_components(pairs.select("u", F.col("pid").alias("v")))
-        heads = heads.join(found.select(F.col("node").alias("pid"), "component"), "pid", "left").select("x", "y", F.coalesce("component", "pid").alias("node"))
+        side = 0.7 * tolerance
+        cell = heads.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+        first = cell.groupBy("cx", "cy").agg(F.min("pid").alias("first"))
+        ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+        asked = cell.withColumn("o", F.explode(ahead)).select(F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("cx").alias("ucx"), F.col("cy").alias("ucy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        met = asked.join(cell, ["cx", "cy"]).where(F.hypot(F.col("ux") - F.col("x"), F.col("uy") - F.col("y")) <= tolerance).select("ucx", "ucy", "cx", "cy").distinct()
+        ends = met.join(first.withColumnRenamed("first", "v"), ["cx", "cy"]).drop("cx", "cy").join(first.select(F.col("cx").alias("ucx"), F.col("cy").alias("ucy"), F.col("first").alias("u")), ["ucx", "ucy"])
+        found = connected_components(ends.select("u", "v"))
+        whole = first.join(found.withColumnRenamed("node", "first"), "first", "left").select("cx", "cy", F.coalesce("component", "first").alias("node"))
+        heads = cell.join(whole, ["cx", "cy"]).select("x", "y", "node")
     else:
         heads = heads.select("x", "y", F.col("pid").alias("node"))
     return points.join(heads, ["x", "y"]).select("pid", "x", "y", "node")
