@@ -100,13 +100,13 @@ def ring_in_box(ring: Column, x0, y0, x1, y1) -> Column:
     return out
 
 
-def cells_passed(df, segment: str, cell: float, x0: float = 0.0, y0: float = 0.0):
+def cells_passed(df, segment: str, cell: float, x0: float = 0.0, y0: float = 0.0, pad: float = 1e-6):
     """df with cx and cy: one row for each cell of a grid that the segment (struct a, b) passes.
 
-    Cells beside the segment by a millionth of their size count too, so rounding loses none.
+    Cells beside the segment by pad, in parts of their size, count too, so rounding loses none.
     """
     at = lambda p, c, start: (F.col(f"{segment}.{p}.{c}") - start) / cell
-    ax, ay, bx, by, pad = at("a", "x", x0), at("a", "y", y0), at("b", "x", x0), at("b", "y", y0), 1e-6
+    ax, ay, bx, by = at("a", "x", x0), at("a", "y", y0), at("b", "x", x0), at("b", "y", y0)
     columns = df.withColumn("cx", F.explode(F.sequence(F.floor(F.least(ax, bx) - pad), F.floor(F.greatest(ax, bx) + pad))))
     # The part of the segment over this column of cells, from level to level.
     left, right = F.greatest(F.least(ax, bx), F.col("cx") - pad), F.least(F.greatest(ax, bx), F.col("cx") + 1 + pad)
