@@ -435,7 +435,10 @@ _TT = f"(((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / {_DEN
 def line_crossings(spark, sf):
     s = A.rows(spark, sf, _DIAGONALS)
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return rounded(roads.crossings(s.select("id", F.array(p("x1", "y1"), p("x2", "y2")).alias("line")), "id"), 3)
+    met = roads.crossing_points(s.select("id", F.array(p("x1", "y1"), p("x2", "y2")).alias("line")), "id")
+    # Rounded once and as the SQL does, by the product: half of it away from zero.
+    whole = lambda c: F.floor(F.abs(c) * 1000) + F.when(F.abs(c) * 1000 - F.floor(F.abs(c) * 1000) >= 0.5, 1).otherwise(0)
+    return met.select("a", "b", *[(F.signum(c) * whole(F.col(c)) / 1000.0).alias(c) for c in ("x", "y")])
 
 
 @query(f"WITH s AS ({_DIAG}), m AS (SELECT a.id AS a, b.id AS b, a.x1 + {_TT} * (a.x2 - a.x1) AS x, a.y1 + {_TT} * (a.y2 - a.y1) AS y FROM s a JOIN s b ON a.id < b.id AND {_DEN} <> 0), e AS (SELECT x1 AS x, y1 AS y FROM s UNION SELECT x2, y2 FROM s) SELECT a, b FROM m WHERE y BETWEEN -1e-9 AND 1000 + 1e-9 AND NOT EXISTS (SELECT 1 FROM e WHERE sqrt(pow(e.x - m.x, 2) + pow(e.y - m.y, 2)) <= 0.5)")
